@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_rules
+from . import queries_decontaminate, queries_rules
 
-_MODULES = (queries_rules,)
+_MODULES = (queries_rules, queries_decontaminate)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
