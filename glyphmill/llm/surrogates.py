@@ -89,7 +89,15 @@ class Permutation:
                 x = x * len(own) + own.index(c)
                 n *= len(own)
         form = "".join(own[-1] if own else c for c, own in zip(text, classes))
-        x = self.number(f"{tweak}|{form}".encode("utf-8", "surrogatepass"), x, n)
+        tag = f"{tweak}|{form}".encode("utf-8", "surrogatepass")
+        new = self._spell(self.number(tag, x, n), text, classes)
+        while _IS_HEX.fullmatch(text) and not _IS_HEX.fullmatch(new):  # digits alone would be another format
+            x = self.number(tag, int(new, 16), n)
+            new = self._spell(x, text, classes)
+        return new
+
+    @staticmethod
+    def _spell(x: int, text: str, classes: list) -> str:
         out = []
         for c, own in zip(reversed(text), reversed(classes)):
             if own:
