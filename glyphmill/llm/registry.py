@@ -11,6 +11,7 @@ from . import (
     queries_simhash,
     queries_slots,
     queries_surrogates,
+    queries_tokens,
     queries_toxicity,
 )
 
@@ -24,6 +25,7 @@ _MODULES = (
     queries_toxicity,
     queries_rules,
     queries_surrogates,
+    queries_tokens,
 )
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
