@@ -3,13 +3,13 @@
 A text is the set of its hashed terms: its words and the beginnings of its words
 (three to six characters), so that inflected forms share a term.  Terms are kept
 that are found in toxic texts more often than chance allows (a likelihood-ratio
-test over all labelled rows).  The machine has a weight for each term and a vector for each
+test).  The machine has a weight for each term and a vector for each
 term whose inner products weigh pairs of terms: an insult next to a mention of a
 group may count for more, or less, than both.
 
-The statistics of terms are counted over all labelled rows, before the shuffle.
-The machine itself is fitted on a bounded sample, ``max_rows`` rows at most,
-half of each label where there are enough, chosen by a hash of the id.
+It is fitted, terms and weights, on a bounded sample of labelled rows: at most
+``max_rows``, half of each label where there are enough, chosen by a hash of the
+id.  Only the sample's ids travel; no text is shuffled.
 
 Defined results: a text without known terms, null or empty ones among them, gets
 the score of the bias alone.  Without labels of both kinds all scores are the
@@ -29,10 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import quoted, without
+from .common import materialise, quoted, without
 
 #: Rows that the machine is fitted on, at most.
-MAX_ROWS = 20_000
+MAX_ROWS = 40_000
 #: Terms that the machine knows, at most.
 MAX_TERMS = 4096
 BITS = 22
@@ -195,12 +195,12 @@ class Machine:
 
 
 def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` ids, half of each label where there are enough; ranks in 256 buckets first."""
+    """At most ``max_rows`` ids and labels, half of each label where there are enough; ranks in 256 buckets first."""
     keyed = labelled.select("key", "label", F.xxhash64(F.lit(SEED), "key").alias("h")).distinct()
     by_bucket = Window.partitionBy("label", F.pmod("h", F.lit(256))).orderBy("h", "key")
     few = keyed.withColumn("r", F.row_number().over(by_bucket)).filter(F.col("r") <= max(1, max_rows // 64))
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "key")))
-    return ranked.filter(F.col("r") <= max_rows).orderBy("r", "label").limit(max_rows).select("key")
+    return ranked.filter(F.col("r") <= max_rows).orderBy("r", "label").limit(max_rows).select("key", "label")
 
 
 def fit(
@@ -215,12 +215,12 @@ def fit(
     key = quoted(id_col).cast("string")
     marks = labels.select(key.alias("key"), quoted(label_col).cast("int").alias("label")).filter("label in (0, 1) and key is not null")
     texts = docs.select(key.alias("key"), quoted(text_col).alias("text"))
-    labelled = texts.join(marks, "key")
+    chosen = materialise(_sample(marks.join(texts.select("key"), "key", "left_semi"), max_rows), "labelled-sample")
+    labelled = texts.join(F.broadcast(chosen), "key")  # max_rows rows at most
     terms, n1, n0 = term_statistics(labelled.select("text", "label"))
     if not n1 or not n0:
         share = min(max(n1 / max(n1 + n0, 1), 1e-9), 1 - 1e-9)
         return Machine(np.empty(0, np.int64), float(np.log(share / (1 - share))))
-    chosen = _sample(marks.join(texts.select("key"), "key", "left_semi"), max_rows)
     own = docs.sparkSession.sparkContext.broadcast(terms)
 
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,7 +229,7 @@ def fit(
             yield pd.DataFrame({"key": batch.key, "label": batch.label, "x": [np.array(find(t), np.int32).tobytes() for t in batch.text]})
 
     rows = (
-        labelled.join(F.broadcast(chosen), "key", "left_semi").select("key", "label", "text")
+        labelled.select("key", "label", "text")
         .mapInPandas(active, "key string, label int, x binary").toPandas().sort_values(["key", "label", "x"])
     )
     machine = Machine(terms, float(np.log(n1 / n0)))
