@@ -10,8 +10,8 @@
 Files are listed in manifests, which are tables: a repeated task leaves files
 that nobody lists.  A task holds one block of tokens, whatever the file's size.
 
-The tokenizer runs on pieces that begin with a space and are kept for the next
-time they occur: its own pre-tokeniser splits there in any case.  A text in which
+The tokenizer's own pre-tokeniser and model run on pieces that begin with a space,
+where the pre-tokeniser splits in any case; results are kept for the next time.  A text in which
 white space follows a space, or a special token occurs, is encoded as one.
 
 Defined results: a null text is empty and has the end id only.  Repeated rows
@@ -20,9 +20,12 @@ are encoded each.  An empty table gives no rows.  Ids must be integers.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +38,10 @@ from .common import delete_path, materialise, quoted, scratch_path
 from .rans import Reader, Table, Writer
 
 END_ID = 0
-#: Pieces that a worker keeps, in each of two generations.
-MOST_PIECES = 350_000
+#: Words that a worker keeps, in each of two generations.
+MOST_PIECES = 400_000
 CHUNK_TOKENS = 1 << 20
+_SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 _UNSAFE = re.compile(r" (?:\s|$)")
 
 
@@ -60,51 +64,122 @@ def open_in(uri: str):
     return system.open_input_file(path)
 
 
+class Kept(dict):
+    """A cache of two generations: when the new one is full it becomes the old one."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def older(self, key: str) -> bytes | None:
+        found = self.old.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters by which a byte-level model writes bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return dict(zip(plain, plain)) | {b: 256 + k for k, b in enumerate(others)}
+
+
 class PieceTokenizer:
-    """Token ids of whole texts as little-endian 32-bit integers, piece by piece."""
+    """Token ids of whole texts as little-endian 32-bit integers, by the library's own parts.
+
+    A text falls into pieces before its spaces, a piece into the pre-tokens of the
+    library's pre-tokeniser, and the library's model encodes each pre-token once.
+    """
 
     def __init__(self, path: str, most: int = MOST_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        splitter, model = parts["pre_tokenizer"] or {}, parts["model"]
+        self.by_piece = (
+            splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
+            and sys.byteorder == "little" and array("I").itemsize == 4 and parts["normalizer"] is None and model["type"] == "BPE" and not model.get("dropout")
+        )
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.most = most
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for e in found for ids in (e.ids,)]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        for text in texts:
-            if _UNSAFE.search(text) or any(s in text for s in self.special):
-                split.append(None)
-                continue
-            first, *rest = text.split(" ")
-            # a piece without its space: the first one is marked apart
-            pieces = ["\0" + first, *rest]
-            split.append(pieces)
-            for piece in set(pieces).difference(new):
-                if piece in old:
-                    new[piece] = old[piece]
-                else:
-                    missing.add(piece)
-        if missing:
-            fresh = list(missing)
-            for at in range(0, len(fresh), 20_000):
-                part = fresh[at : at + 20_000]
-                new.update(zip(part, self._encode([p[1:] if p[:1] == "\0" else " " + p for p in part])))
-        return [
-            self._encode([text])[0] if pieces is None else b"".join(map(new.__getitem__, pieces))
-            for text, pieces in zip(texts, split)
-        ]
+        #: ids of words that stand after a space, and of other pre-tokens
+        self.words, self.others = Kept(most), Kept(most // 4)
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model
+        self.newline = self._ids("\u010a") if self.by_piece else b""
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, token: str) -> bytes:
+        """Ids of one pre-token, written in byte letters."""
+        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters after a space, not among the newer ones."""
+        ids = self.words.older(word)
+        if ids is None:
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            self.words[word] = ids = self._ids("\u0120" + written)
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of any piece, by the library's pre-tokeniser."""
+        out = []
+        for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
+            ids = self.others.get(token) or self.others.older(token)
+            if ids is None:
+                self.others[token] = ids = self._ids(token)
+            out.append(ids)
+        return b"".join(out)
+
+    def _plain(self, part: str, spaced: bool) -> bytes | None:
+        """Ids of letters with a run of ASCII marks behind them; None for anything else."""
+        tail = b""
+        if not part.isalpha():
+            m = _SIMPLE.fullmatch(part)
+            if m is None or not m[1].isalpha() or not m[2].isascii():
+                return None
+            part = m[1]
+            found = self.tails.get(m[2])
+            if found is None:
+                found = self._ids(m[2])
+                if len(self.tails) < 10_000:
+                    self.tails[m[2]] = found
+            tail = found
+        if spaced:
+            return (self.words.get(part) or self._word(part)) + tail
+        ids = self.others.get(part) or self.others.older(part)
+        if ids is None:
+            self.others[part] = ids = self._ids(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
+        return ids + tail
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of a word after a space; single line ends in it stand alone."""
+        parts = word.split("\n")
+        found = [self._plain(p, k == 0) for k, p in enumerate(parts)]
+        return self._piece(" " + word) if None in found else self.newline.join(found)
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special):
+            return self.whole(text)
+        first, *rest = text.split(" ")
+        found = list(map(self.words.get, rest))
+        if None in found:
+            spaced = self._spaced
+            found = [spaced(rest[k]) if ids is None else ids for k, ids in enumerate(found)]
+        self.words.turn()
+        self.others.turn()
+        return (self._piece(first) if first else b"") + b"".join(found)
 
 
 def _write_raw(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
@@ -141,7 +216,7 @@ def _write_raw(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -
             for at in range(0, len(batch), 500):
                 texts = [t or "" for t in batch.text[at : at + 500]]
                 keys = [None if pd.isna(i) else int(i) for i in batch.id[at : at + 500]]
-                for key, data in zip(keys, tokenizer.batch(texts)):
+                for key, data in zip(keys, map(tokenizer, texts)):
                     if out is None:
                         out = open_out(path)
                     ids.append(key)
