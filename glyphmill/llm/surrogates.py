@@ -112,7 +112,7 @@ _ALPHABETS = [
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßœ",
+    "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß",
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюяё",
     "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЭЮЯЁ",

@@ -39,7 +39,7 @@ from .rans import Reader, Table, Writer
 
 END_ID = 0
 #: Words that a worker keeps, in each of two generations.
-MOST_PIECES = 400_000
+MOST_PIECES = 600_000
 CHUNK_TOKENS = 1 << 20
 _SIMPLE = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 _UNSAFE = re.compile(r" (?:\s|$)")
@@ -109,12 +109,14 @@ class PieceTokenizer:
         )
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        #: ids of words that stand after a space, and of other pre-tokens
+        #: ids of what stands after a space, up to the next one, and of other pre-tokens
         self.words, self.others = Kept(most), Kept(most // 4)
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
         self.newline = self._ids("\u010a") if self.by_piece else b""
         self.tails: dict[str, bytes] = {}
+        #: single marks that often end a word
+        self.marks = {c: self._ids(c) for c in ",.;:!?)"} if self.by_piece else {}
 
     def _ids(self, token: str) -> bytes:
         """Ids of one pre-token, written in byte letters."""
@@ -173,15 +175,39 @@ class PieceTokenizer:
         if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        found = list(map(self.words.get, rest))
+        get, mark = self.words.get, self.marks.get
+        found = list(map(get, rest))
         if None in found:
-            spaced = self._spaced
-            found = [spaced(rest[k]) if ids is None else ids for k, ids in enumerate(found)]
+            for k, ids in enumerate(found):
+                if ids is None:
+                    word = rest[k]
+                    tail = mark(word[-1])
+                    # a mark after a letter is a pre-token of its own, whatever stands before
+                    bare = get(word[:-1]) if tail is not None and word[-2:-1].isalpha() else None
+                    if bare is not None:
+                        ids = self.words[word] = bare + tail
+                    elif word.isalpha():
+                        ids = self._word(word)
+                    elif (ids := self.words.older(word)) is None:
+                        ids = self._spaced(word)
+                        if len(word) < 64:
+                            self.words[word] = ids
+                    found[k] = ids
         self.words.turn()
         self.others.turn()
         return (self._piece(first) if first else b"") + b"".join(found)
 
 
+_TOKENIZERS: dict[str, PieceTokenizer] = {}
+
+
+def _tokenizer(path: str) -> PieceTokenizer:
+    """The worker's tokenizer with what it has kept: workers run many tasks."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = PieceTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def _write_raw(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """Raw token files of an ordered frame; the manifest has part, path and tokens."""
 
@@ -190,7 +216,7 @@ def _write_raw(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int) -
 
         from pyspark import TaskContext
 
-        tokenizer = PieceTokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path)
         wide = "<u4" if tokenizer.size > 65_536 else "<u2"
         press = zstandard.ZstdCompressor(3)
         end = struct.pack("<I", end_id)
