@@ -21,9 +21,10 @@ def byte_view(text: Column) -> Column:
     return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
 
 
-def raw_tokens(text: Column) -> Column:
-    """Letter runs and single bytes of a text, in order; none for null."""
-    return F.coalesce(F.regexp_extract_all(byte_view(text), F.lit(TOKEN), 1), F.array().cast("array<string>"))
+def raw_tokens(text: Column, is_bytes: bool = False) -> Column:
+    """Letter runs and single bytes of a text (or of a byte view), in order; none for null."""
+    view = text if is_bytes else byte_view(text)
+    return F.coalesce(F.regexp_extract_all(view, F.lit(TOKEN), 1), F.array().cast("array<string>"))
 
 
 def line_count(text: Column) -> Column:
@@ -97,6 +98,6 @@ def looks_like_header(line: Column) -> Column:
     return (has("token") & (has("count") | has("repetitions"))) | (has("word") & has("count")) | has("embedding")
 
 
-def with_line_ends(text: Column) -> Column:
+def with_line_ends(text: Column, is_bytes: bool = False) -> Column:
     """Raw tokens of a text as one file, with a line-end token for each of its lines."""
-    return F.concat(raw_tokens(text), F.array_repeat(F.lit(LINE_END), line_count(text).cast("int")))
+    return F.concat(raw_tokens(text, is_bytes), F.array_repeat(F.lit(LINE_END), line_count(text).cast("int")))

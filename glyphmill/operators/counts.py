@@ -15,18 +15,19 @@ from ..functions.text import (
 )
 
 
-def raw_counts(texts: DataFrame) -> DataFrame:
-    """(raw, cnt): letter runs, single bytes and line ends of ``texts`` (column text)."""
-    return texts.select(F.explode(with_line_ends(F.col("text"))).alias("raw")).groupBy("raw").agg(F.count(F.lit(1)).alias("cnt"))
+def raw_counts(texts: DataFrame, is_bytes: bool = False) -> DataFrame:
+    """(raw, cnt): letter runs, single bytes and line ends of ``texts`` (column text, or byte views there)."""
+    tokens = texts.select(F.explode(with_line_ends(F.col("text"), is_bytes)).alias("raw"))
+    return tokens.groupBy("raw").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
+def word_counts(texts: DataFrame, is_bytes: bool = False) -> DataFrame:
     """(token, cnt) of training: letter runs split at case boundaries and lower-cased.
 
     Counted before the split, so that the split runs once for each distinct run.
     """
     pieces = F.when(F.col("raw") == LINE_END, F.array("raw")).otherwise(training_tokens(F.col("raw")))
-    split = raw_counts(texts).select(F.explode(pieces).alias("token"), "cnt")
+    split = raw_counts(texts, is_bytes).select(F.explode(pieces).alias("token"), "cnt")
     return split.groupBy("token").agg(F.sum("cnt").alias("cnt"))
 
 

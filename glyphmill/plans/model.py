@@ -65,17 +65,17 @@ def _kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def learn(texts: DataFrame, settings: Settings = Settings()) -> Model:
-    """A model of ``texts`` (column text, each as one file)."""
-    counts = _kept(word_counts(texts), "word-counts")
+def learn(texts: DataFrame, settings: Settings = Settings(), is_bytes: bool = False) -> Model:
+    """A model of ``texts`` (column text, each as one file, or as its byte view)."""
+    counts = _kept(word_counts(texts, is_bytes), "word-counts")
     merges = _kept(learn_merges(counts, settings), "merges")
     vocabulary = _kept(ranked(vocabulary_tokens(counts, merges)), "vocabulary")
     return Model(settings, vocabulary, token_stats(counts, vocabulary), counts, merges)
 
 
-def train(spark: SparkSession, folder: str, out: str, settings: Settings = Settings()) -> Model:
+def train(spark: SparkSession, folder: str, out: str, settings: Settings = Settings(), hidden: bool = False) -> Model:
     """Learns from a folder of text files and saves the result."""
-    model = learn(texts_of_lines(read_lines(spark, folder)), settings)
+    model = learn(texts_of_lines(read_lines(spark, folder, hidden)), settings, is_bytes=hidden)
     model.save(out)
     return model
 

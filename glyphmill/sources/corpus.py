@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import line_count
 
+CHUNK = 1 << 22
+
 
 def read_lines(spark: SparkSession, folder: str, hidden: bool = False) -> DataFrame:
     """(path, line) of every regular file directly in a folder; lines end at \\n only.
 
     Spark's text source leaves out names that start with ``_`` or ``.``;
-    ``hidden=True`` reads whole files as bytes instead and keeps them.
+    ``hidden=True`` reads the listed files with a reader of our own, as bytes,
+    one character for each.
     """
     if not hidden:
         return (
@@ -22,9 +28,24 @@ def read_lines(spark: SparkSession, folder: str, hidden: bool = False) -> DataFr
     files = list_files(spark, folder)
     if not files:
         raise FileNotFoundError(f"no files in {folder}")
-    whole = spark.read.format("binaryFile").load(files).select("path", F.decode("content", "ISO-8859-1").alias("text"))
-    cut = F.when(F.endswith("text", F.lit("\n")), F.substring(F.col("text"), F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))
-    return whole.filter(F.length("text") > 0).select("path", F.explode(F.split(cut, "\n", -1)).alias("line"))
+    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 1000))
+    return paths.mapInPandas(_lines_of_files, "path string, line string")
+
+
+def _lines_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for path in batch.path:
+            plain = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+            system, where = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(plain)
+            with system.open_input_stream(where, compression=None) as stream:
+                left = b""
+                while chunk := stream.read(CHUNK):
+                    *whole, left = (left + chunk).split(b"\n")
+                    yield pd.DataFrame({"path": path, "line": [w.decode("latin-1") for w in whole]})
+                if left:
+                    yield pd.DataFrame({"path": [path], "line": [left.decode("latin-1")]})
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
