@@ -180,6 +180,16 @@ SQL = {
     ),
     "token_vectors": _with(f"{_BASE_ONLY}, {_VALUES}", "select rank, token, j, value from vals"),
     "token_vectors_csv": _with(f"{_BASE_ONLY}, {_VALUES}", "select token, j, value from vals"),
+    "vector_matrix_csv": _with(
+        f"{_BASE_ONLY}, {_VALUES}",
+        "select j, count(*)::bigint as n, round(sum(value), 3) as total from vals group by j",
+    ),
+    "stats_column_csv": _with(
+        f"{_VOCABULARY}, {_WORDS_OF_COUNTS}, {_segments('needed')}, {_STATS.format(source='wc')}",
+        "select cast(cnt as varchar) as value, count(*)::bigint as n from stats group by 1", True,
+    ),
+    "train_save_load": _with(_VOCABULARY, _rank("vocab")),
+    "stream_word_counts": _with(_counts(), "select token, cnt from wc"),
     "xorshift_uniform": _with(
         f"ids as (select (doc_id + 1)::bigint as seed from documents), {_XOR}",
         "select seed, state::bigint as state, round(1.05::double + state::double / 4294967295.0::double * (10.0::double - 1.05::double), 9) as value from s3",

@@ -12,8 +12,10 @@ from .operators import counts as C
 from .operators import learn as L
 from .operators import segment as S
 from .operators import vectors as E
+from .plans.model import load, train
 from .sources import corpus, tables
 from .sources.shared import own_path
+from .streaming.counts import stream_batches, total
 
 #: Merges that the SQL side unrolls; both semantics agree on them at the tested size.
 K = 16
@@ -252,6 +254,42 @@ def trim_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(made.alias("line")).select("line", T.unquoted(T.trimmed(F.col("line"))).alias("bare"))
 
 
+def vector_matrix_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written without their tokens, read back as a matrix: sums of its rows' places don't depend on order."""
+    path = own_path(spark, "matrix")
+    made = E.vocabulary_vectors(_base_ranked(spark, sf_dir), Settings(dim=DIM, lam=LAM, seed=SEED))
+    tables.write_vectors(made, path)
+    long = tables.read_matrix(spark, path).select(F.posexplode("values").alias("j", "value"))
+    return long.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("value").cast("double"), 5)), 3).alias("total"))
+
+
+def stats_column_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second field of the written token statistics, and how often each value occurs."""
+    path = own_path(spark, "stats")
+    tables.write_token_stats(token_stats(spark, sf_dir), path)
+    return tables.read_column(spark, path, 1).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _text_files(spark: SparkSession, sf_dir: str) -> str:
+    path = own_path(spark, "text-files")
+    _read(spark, sf_dir, "documents").select("text").write.text(path)
+    return path
+
+
+def train_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary trained on text files, saved, and loaded again."""
+    out = own_path(spark, "model")
+    train(spark, _text_files(spark, sf_dir), out, Settings(num_merges=K, dim=4, semantics="canonical"))
+    return load(spark, out).vocabulary
+
+
+def stream_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts of text files, as a stream."""
+    counts, state = own_path(spark, "stream-counts"), own_path(spark, "stream-state")
+    stream_batches(spark, _text_files(spark, sf_dir), counts, state)
+    return total(spark, counts)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -260,6 +298,6 @@ QUERIES = {
         bpe_merges_literal_first, bpe_merges_literal, vocabulary_ranked, segment_words, segment_sentences, token_stats,
         vocabulary_strays, token_stats_csv, unique_tokens_csv, embedding_coefficients, token_vectors, token_vectors_csv,
         xorshift_uniform, vector_inverse, zero_vector_guard, embedding_lookup, embedding_at_rank, embedding_update, csv_escape,
-        header_predicate, trim_quotes,
+        header_predicate, trim_quotes, vector_matrix_csv, stats_column_csv, train_save_load, stream_word_counts,
     )
 }
