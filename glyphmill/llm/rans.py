@@ -21,7 +21,7 @@ import zstandard
 
 MAGIC = b"GMRANS1\n"
 SCALE = 20
-LANES = 2048
+LANES = 8192
 BLOCK_TOKENS = 1 << 20
 _LOW = np.uint64(1 << 32)
 
@@ -50,7 +50,8 @@ class Table:
         self.freq = np.zeros(len(counts), np.uint64)
         self.freq[seen] = share.astype(np.uint64)
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.symbol = np.repeat(np.arange(len(counts), dtype=np.uint32), self.freq.astype(np.int64))
+        narrow = np.uint16 if len(counts) <= 1 << 16 else np.uint32
+        self.symbol = np.repeat(np.arange(len(counts), dtype=narrow), self.freq.astype(np.int64))
 
     def packed(self) -> bytes:
         return zstandard.ZstdCompressor(3).compress(self.freq.astype("<u4").tobytes())

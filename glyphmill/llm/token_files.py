@@ -118,6 +118,10 @@ class PieceTokenizer:
         #: single marks that often end a word
         self.marks = {c: self._ids(c) for c in ",.;:!?)"} if self.by_piece else {}
 
+    def _written(self, word: str) -> str:
+        """A word in byte letters."""
+        return word.encode().decode("latin-1").translate(self.letters)
+
     def _ids(self, token: str) -> bytes:
         """Ids of one pre-token, written in byte letters."""
         return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
@@ -130,8 +134,7 @@ class PieceTokenizer:
         """Ids of a word of letters after a space, not among the newer ones."""
         ids = self.words.older(word)
         if ids is None:
-            written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            self.words[word] = ids = self._ids("\u0120" + written)
+            self.words[word] = ids = self._ids("\u0120" + (word if word.isascii() else self._written(word)))
         return ids
 
     def _piece(self, piece: str) -> bytes:
@@ -162,7 +165,7 @@ class PieceTokenizer:
             return (self.words.get(part) or self._word(part)) + tail
         ids = self.others.get(part) or self.others.older(part)
         if ids is None:
-            self.others[part] = ids = self._ids(part if part.isascii() else part.encode().decode("latin-1").translate(self.letters))
+            self.others[part] = ids = self._ids(part if part.isascii() else self._written(part))
         return ids + tail
 
     def _spaced(self, word: str) -> bytes:
@@ -175,23 +178,24 @@ class PieceTokenizer:
         if not self.by_piece or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
-        get, mark = self.words.get, self.marks.get
+        words, mark = self.words, self.marks.get
+        get, older = words.get, words.old.get
         found = list(map(get, rest))
         if None in found:
             for k, ids in enumerate(found):
                 if ids is None:
                     word = rest[k]
-                    tail = mark(word[-1])
-                    # a mark after a letter is a pre-token of its own, whatever stands before
-                    bare = get(word[:-1]) if tail is not None and word[-2:-1].isalpha() else None
-                    if bare is not None:
-                        ids = self.words[word] = bare + tail
-                    elif word.isalpha():
-                        ids = self._word(word)
-                    elif (ids := self.words.older(word)) is None:
-                        ids = self._spaced(word)
-                        if len(word) < 64:
-                            self.words[word] = ids
+                    ids = older(word)
+                    if ids is None:
+                        if word.isalpha():
+                            ids = self._ids("\u0120" + (word if word.isascii() else self._written(word)))
+                        else:
+                            # a mark after a letter is a pre-token of its own, whatever stands before
+                            tail = mark(word[-1])
+                            bare = get(word[:-1]) if tail is not None and word[-2:-1].isalpha() else None
+                            ids = bare + tail if bare is not None else self._spaced(word)
+                    if len(word) < 64:
+                        words[word] = ids
                     found[k] = ids
         self.words.turn()
         self.others.turn()
