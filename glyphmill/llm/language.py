@@ -6,7 +6,7 @@ for each family, then, within the family, one for each pair of languages; the
 language with most votes wins, margins break ties.
 
 Training uses a bounded sample of labelled rows: ``max_rows`` of them, the same
-number for each language where there are enough, chosen by a hash of the id.
+number for each language where there are enough, chosen by a hash of id and text.
 Nothing else is bounded: every text is read whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.
@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, without
@@ -153,41 +153,45 @@ class Model:
         return lang, float(sure)
 
 
-def training_rows(labelled: DataFrame, lang: Column, key: Column, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` keys (key, lang), as many of each language as there are enough of.
+def training_rows(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """At most ``max_rows`` of the distinct (key, text_hash, lang), as many of each language as there are enough of.
 
     Ranks inside (language, bucket) with 256 buckets first, so that no task sorts
-    a whole language; only the first ``max_rows`` of each go on.
+    a whole language; only the first ones of each go on.
     """
-    rows = labelled.filter(lang.isNotNull()).select(
-        key.cast("string").alias("key"), lang.alias("lang"), F.xxhash64(F.lit(SEED), key.cast("string")).alias("h")
+    rows = labelled.select("key", "text_hash", "lang").distinct().withColumn(
+        "h", F.xxhash64(F.lit(SEED), "key", "text_hash")
     )
-    bucketed = rows.withColumn("bucket", F.pmod("h", F.lit(256)))
-    by_bucket = Window.partitionBy("lang", "bucket").orderBy("h", "key")
-    few = bucketed.withColumn("r", F.row_number().over(by_bucket)).filter(F.col("r") <= max_rows // 16)
-    by_lang = Window.partitionBy("lang").orderBy("r", "h", "key")
-    ranked = few.withColumn("r", F.row_number().over(by_lang)).filter(F.col("r") <= max_rows)
-    return ranked.orderBy("r", "lang", "h").limit(max_rows).select("key", "lang")
+    order = ["h", "key", "text_hash"]
+    by_bucket = Window.partitionBy("lang", F.pmod("h", F.lit(256))).orderBy(*order)
+    few = rows.withColumn("r", F.row_number().over(by_bucket)).filter(F.col("r") <= max(1, max_rows // 16))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+    return ranked.orderBy("r", "lang", *order).limit(max_rows).select("key", "text_hash", "lang")
 
 
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS
 ) -> Model | None:
-    """A model of the languages in ``lang_col``, fitted on a bounded sample; None without labelled rows."""
-    chosen = training_rows(labelled, quoted(lang_col), quoted(id_col), max_rows)
-    keys = chosen.dropna(subset=["key"]).dropDuplicates(["key"])
+    """A model of the languages in ``lang_col``, fitted on a bounded sample; None without labelled rows.
+
+    Repeated rows count once, so a sample has ``max_rows`` rows whatever an id holds.
+    """
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch[batch.text.map(has_letter)]
             yield pd.DataFrame({"key": rows.key, "lang": rows.lang, "x": [counts(t).tobytes() for t in rows.text]})
 
-    texts = labelled.select(quoted(id_col).cast("string").alias("key"), quoted(text_col).alias("text"), quoted(lang_col).alias("lang"))
-    joined = texts.join(F.broadcast(keys.select("key")), "key", "left_semi").filter("lang is not null")
-    found = joined.mapInPandas(vectors, "key string, lang string, x binary").toPandas()
+    rows = labelled.select(
+        quoted(id_col).cast("string").alias("key"), F.xxhash64(quoted(text_col)).alias("text_hash"),
+        quoted(lang_col).alias("lang"), quoted(text_col).alias("text"),
+    ).filter("lang is not null and key is not null")
+    names = ["key", "text_hash", "lang"]
+    chosen = rows.join(F.broadcast(training_rows(rows, max_rows)), names, "left_semi").dropDuplicates(names)
+    found = chosen.select("key", "lang", "text").mapInPandas(vectors, "key string, lang string, x binary").toPandas()
     if found.empty:
         return None
-    found = found.sort_values(["key", "lang", "x"]).head(2 * max_rows)
+    found = found.sort_values(["key", "lang", "x"])
     return Model(np.stack([np.frombuffer(b, dtype=np.float32) for b in found.x]), found.lang.to_numpy())
 
 

@@ -9,13 +9,13 @@ group may count for more, or less, than both.
 
 It is fitted, terms and weights, on a bounded sample of labelled rows: at most
 ``max_rows``, half of each label where there are enough, chosen by a hash of the
-id.  Only the sample's ids travel; no text is shuffled.
+id and the text.  Only the sample's texts are shuffled.
 
 Defined results: a text without known terms, null or empty ones among them, gets
 the score of the bias alone.  Without labels of both kinds all scores are the
 share of toxic labels (0 without any).  Null labels are no labels.  Repeated
-labels of a document count each.  Equal texts get equal scores.  Columns named
-like outputs are replaced.
+rows count once, different labels of a document each.  Equal texts get equal
+scores.  Columns named like outputs are replaced.
 """
 
 from __future__ import annotations
@@ -195,12 +195,13 @@ class Machine:
 
 
 def _sample(labelled: DataFrame, max_rows: int) -> DataFrame:
-    """At most ``max_rows`` ids and labels, half of each label where there are enough; ranks in 256 buckets first."""
-    keyed = labelled.select("key", "label", F.xxhash64(F.lit(SEED), "key").alias("h")).distinct()
-    by_bucket = Window.partitionBy("label", F.pmod("h", F.lit(256))).orderBy("h", "key")
+    """At most ``max_rows`` distinct (key, text_hash, label), half of each label where there are enough; ranks in 256 buckets first."""
+    keyed = labelled.withColumn("h", F.xxhash64(F.lit(SEED), "key", "text_hash"))
+    order = ["h", "key", "text_hash"]
+    by_bucket = Window.partitionBy("label", F.pmod("h", F.lit(256))).orderBy(*order)
     few = keyed.withColumn("r", F.row_number().over(by_bucket)).filter(F.col("r") <= max(1, max_rows // 64))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "key")))
-    return ranked.filter(F.col("r") <= max_rows).orderBy("r", "label").limit(max_rows).select("key", "label")
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(*order)))
+    return ranked.filter(F.col("r") <= max_rows).orderBy("r", "label").limit(max_rows).select("key", "text_hash", "label")
 
 
 def fit(
@@ -213,10 +214,14 @@ def fit(
 ) -> Machine:
     """A machine learned from ``labels`` (id, 0 or 1) of ``docs``."""
     key = quoted(id_col).cast("string")
-    marks = labels.select(key.alias("key"), quoted(label_col).cast("int").alias("label")).filter("label in (0, 1) and key is not null")
-    texts = docs.select(key.alias("key"), quoted(text_col).alias("text"))
-    chosen = materialise(_sample(marks.join(texts.select("key"), "key", "left_semi"), max_rows), "labelled-sample")
-    labelled = texts.join(F.broadcast(chosen), "key")  # max_rows rows at most
+    marks = labels.select(key.alias("key"), quoted(label_col).cast("int").alias("label"))
+    marks = marks.filter("label in (0, 1) and key is not null").distinct()
+    texts = docs.select(key.alias("key"), F.xxhash64(quoted(text_col)).alias("text_hash"), quoted(text_col).alias("text"))
+    pairs = texts.select("key", "text_hash").distinct().join(marks, "key")
+    chosen = materialise(_sample(pairs, max_rows), "labelled-sample")
+    names = ["key", "text_hash", "label"]
+    # max_rows rows at most, whatever an id holds: repeated rows count once
+    labelled = texts.join(F.broadcast(chosen), ["key", "text_hash"]).dropDuplicates(names)
     terms, n1, n0 = term_statistics(labelled.select("text", "label"))
     if not n1 or not n0:
         share = min(max(n1 / max(n1 + n0, 1), 1e-9), 1 - 1e-9)

@@ -84,3 +84,18 @@ def test_pairs_of_terms_count_together():
     machine = toxicity.Machine(np.arange(3), 0.0)
     machine.fit(rows, np.array(labels))
     assert machine.score([0, 1, 2]) > 0.9 and machine.score([0, 2]) < 0.1 and machine.score([1, 2]) < 0.1
+
+
+def test_repeated_rows_do_not_fill_the_sample(spark):
+    hot = [(1, "the cat and the dog", "en")] * 3000
+    rest = [(10 + i, ["the cow and the cat", "der hund und die kuh"][i % 2] + f" x{i}", ["en", "de"][i % 2]) for i in range(40)]
+    docs = spark.createDataFrame(hot + rest, "doc_id long, text string, lang string")
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), F.xxhash64("text").alias("text_hash"), "lang")
+    assert sorted(r.key for r in language.training_rows(rows, 500).collect()) == sorted(["1", *map(str, range(10, 50))])
+    by = {r.lang: r["count"] for r in language.training_rows(rows, 10).groupBy("lang").count().collect()}
+    assert by == {"en": 5, "de": 5}
+    model = language.fit(docs)
+    assert language.predict(docs.filter("doc_id = 11"), model).first().lang_pred == "de"
+    labels = spark.createDataFrame([(1, 1)] * 2000 + [(10 + i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    machine = toxicity.fit(docs, labels)
+    assert toxicity.score(docs.filter("doc_id = 11"), machine).first().predicted == 1
