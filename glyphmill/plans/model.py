@@ -69,7 +69,8 @@ def learn(texts: DataFrame, settings: Settings = Settings(), is_bytes: bool = Fa
     """A model of ``texts`` (column text, each as one file, or as its byte view)."""
     counts = _kept(word_counts(texts, is_bytes), "word-counts")
     merges = _kept(learn_merges(counts, settings), "merges")
-    vocabulary = _kept(ranked(vocabulary_tokens(counts, merges)), "vocabulary")
+    tokens = _kept(vocabulary_tokens(counts, merges), "tokens")
+    vocabulary = _kept(ranked(tokens), "vocabulary")
     return Model(settings, vocabulary, token_stats(counts, vocabulary), counts, merges)
 
 

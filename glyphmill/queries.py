@@ -36,19 +36,22 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.word_counts(_texts(spark, sf_dir))
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """As a table, for what is used several times."""
+    path = own_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _kept_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word counts as a table, for queries that use them several times."""
-    path = own_path(spark, "counts")
-    _counts(spark, sf_dir).write.parquet(path)
-    return spark.read.schema("token string, cnt long").parquet(path)
+    return _kept(_counts(spark, sf_dir), "counts")
 
 
 def _learned(spark: SparkSession, sf_dir: str, merges: int = K) -> tuple[DataFrame, DataFrame]:
     """Counts and ranked vocabulary after some merges."""
     counts = _kept_counts(spark, sf_dir)
-    path = own_path(spark, "vocabulary")
-    tables.ranked(L.vocabulary_tokens(counts, L.replay_merges(counts, merges, "canonical"))).write.parquet(path)
-    return counts, spark.read.schema("rank int, token string, len int").parquet(path)
+    tokens = _kept(L.vocabulary_tokens(counts, L.replay_merges(counts, merges, "canonical")), "tokens")
+    return counts, _kept(tables.ranked(tokens), "vocabulary")
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +170,7 @@ def unique_tokens_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.ranked(base_vocabulary(spark, sf_dir))
+    return tables.ranked(_kept(base_vocabulary(spark, sf_dir), "tokens"))
 
 
 def embedding_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:

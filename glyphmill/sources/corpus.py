@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import line_count
 
 CHUNK = 1 << 22
+#: Inputs of fewer bytes are spread over all cores.
+SMALL = 256 << 20
 
 
 def read_lines(spark: SparkSession, folder: str, hidden: bool = False) -> DataFrame:
@@ -61,9 +63,21 @@ def texts_of_lines(lines: DataFrame) -> DataFrame:
     return lines.select(F.concat("line", F.lit("\n")).alias("text"))
 
 
+def spread(rows: DataFrame, least: int = SMALL) -> DataFrame:
+    """``rows`` over all cores if the plan's estimate of their size is small.
+
+    A small file may be one row group and so one task, however many cores there
+    are; larger inputs have splits enough and are left where they are.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > least:
+        return rows
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def texts_of_table(table: DataFrame, column: str = "text") -> DataFrame:
     """One text to a row, each as one file."""
-    return table.select(F.col(column).alias("text"))
+    return spread(table.select(F.col(column).alias("text")))
 
 
 def lines_of_table(table: DataFrame, column: str = "text") -> DataFrame:
