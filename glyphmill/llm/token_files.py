@@ -10,8 +10,8 @@
 Files are listed in manifests, which are tables: a repeated task leaves files
 that nobody lists.  A task holds one block of tokens, whatever the file's size.
 
-The tokenizer's own pre-tokeniser and model run on pieces that begin with a space,
-where the pre-tokeniser splits in any case; results are kept for the next time.  A text in which
+The tokenizer's own pre-tokenizer and model run on pieces that begin with a space,
+where the pre-tokenizer splits in any case; results are kept for the next time.  A text in which
 white space follows a space, or a special token occurs, is encoded as one.
 
 Defined results: a null text is empty and has the end id only.  Repeated rows
@@ -94,7 +94,7 @@ class PieceTokenizer:
     """Token ids of whole texts as little-endian 32-bit integers, by the library's own parts.
 
     A text falls into pieces before its spaces, a piece into the pre-tokens of the
-    library's pre-tokeniser, and the library's model encodes each pre-token once.
+    library's pre-tokenizer, and the library's model encodes each pre-token once.
     """
 
     def __init__(self, path: str, most: int = MOST_PIECES):
@@ -138,7 +138,7 @@ class PieceTokenizer:
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of any piece, by the library's pre-tokeniser."""
+        """Ids of any piece, by the library's pre-tokenizer."""
         out = []
         for token, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece):
             ids = self.others.get(token) or self.others.older(token)
