@@ -334,7 +334,11 @@ def find_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each class, a row with its smallest id, in the columns of ``docs``."""
-    found = cluster(docs, id_col, text_col, **options)
+    return keep_one(docs, cluster(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each class; ``found`` has doc_id, text_hash and root of each of ``docs``."""
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("m"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "m")
     best = rows.groupBy("root").agg(F.min(order).alias("b"))
