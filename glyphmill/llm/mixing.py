@@ -9,15 +9,20 @@ draw depends on the seed and the id alone: not on partitions, order or retries.
 
 Defined results: a null source is a source of its own.  A null text has size 0.
 A document without an id draws by its text.  Repeated rows draw alike.  A source
-with weight 0 vanishes; a source without a given weight keeps its share.  Empty
-tables stay empty.  Other columns pass through; a column with the name of an
-output is replaced.
+with weight 0 vanishes; a source without a given weight keeps its share.  A
+source may have any rate: its table of probabilities covers 12 standard
+deviations and 12 counts around it.  Only a given total of more than 64 times
+all bytes is refused.  Empty tables stay empty.  Other columns pass through; a
+column with the name of an output is replaced.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +31,11 @@ from .common import let, materialise, quoted, without
 SEED = "glyphmill-mix"
 #: Exponent of the default weights: a source's share of all bytes to this power.
 TEMPERATURE = 0.7
-#: A rate above this is refused: no target asks for a document that often.
+#: Up to this rate the probabilities are summed from P(X = 0) on, as SQL does; above it, from logarithms around the
+#: rate.  Also what a given total may be in times of all bytes.
 MAX_RATE = 64.0
+#: Copies of a document that are listed at once.
+BLOCK = 100_000
 OUTPUTS = ("rate", "n_copies", "copy_no", "shuffle_key")
 
 
@@ -37,22 +45,45 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(2**52))
 
 
-def poisson_steps(rate: Column, most: float = MAX_RATE) -> Column:
-    """The cumulative Poisson probabilities of a rate: P(X <= k) for k = 0, 1, ..."""
-    top = int(most + 12 * math.sqrt(most) + 12)
+def first_step(rate: float) -> int:
+    """The least k of the table of a rate; smaller counts don't occur."""
+    return max(0, math.floor(rate - 12 * math.sqrt(rate) - 12)) if rate > MAX_RATE else 0
+
+
+def poisson_table(rate: float) -> np.ndarray:
+    """P(X <= k) for k = first_step(rate), ..., from logarithms: no power of the rate and no exp(-rate) overflows."""
+    k = np.arange(first_step(rate), math.ceil(rate + 12 * math.sqrt(rate) + 12) + 1)
+    steps = -np.log1p((k[1:] - rate) / rate)
+    # relative to the first one, so that no logarithm of a factorial is needed; then they sum to 1
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    p = np.exp(logs - logs.max())
+    return np.cumsum(p) / p.sum()
+
+
+def poisson_steps(rate: Column) -> Column:
+    """The cumulative Poisson probabilities of a rate, and the count ``first`` that they begin at."""
+
+    @F.pandas_udf("first long, c array<double>")
+    def far(rates: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in rates:
+            tables = [poisson_table(r) if r > MAX_RATE else np.empty(0) for r in batch]
+            yield pd.DataFrame({"first": [first_step(r) for r in batch], "c": tables})
+
+    top = F.ceil(rate + 12 * F.sqrt(rate) + 12).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(acc: Column, k: Column) -> Column:
         p = acc["p"] * rate / k
         return F.struct(p.alias("p"), F.array_append(acc["c"], F.element_at(acc["c"], -1) + p).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), start, step, lambda acc: acc["c"])
+    near = F.aggregate(F.sequence(F.lit(1), top), start, step, lambda acc: acc["c"])
+    return F.when(rate > MAX_RATE, far(rate)).otherwise(F.struct(F.lit(0).cast("long").alias("first"), near.alias("c")))
 
 
 def source_rates(
     docs: DataFrame, source_col: str, text_col: str, weights: dict | None = None, total: float | None = None
 ) -> DataFrame:
-    """Rows (source, source_bytes, rate, steps), one for each source.
+    """Rows (source, source_bytes, rate), one for each source.
 
     ``total``: bytes to aim at, by default as many as there are.  Bytes are
     summed before the shuffle, so a source with a third of all rows is no burden;
@@ -74,12 +105,10 @@ def source_rates(
     weighed = sizes.withColumn("weight", F.round(weight, 12) if bytes_of_all else F.lit(0.0))
     all_weights = float(weighed.agg(F.sum("weight")).first()[0] or 0)
     aim = float(total) if total is not None else bytes_of_all
+    if bytes_of_all and aim > MAX_RATE * bytes_of_all:
+        raise ValueError(f"rate above the limit: {aim / bytes_of_all} for all sources together")
     asked = F.lit(aim) * F.col("weight") / F.lit(all_weights or 1.0) / size
-    rates = weighed.select("source", "source_bytes", F.when(size > 0, F.round(asked, 9)).otherwise(F.lit(0.0)).alias("rate"))
-    checked = F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(
-        F.raise_error(F.concat(F.lit("rate above the limit: "), F.col("rate").cast("string"))).cast("double")
-    )
-    return rates.withColumn("rate", checked)
+    return weighed.select("source", "source_bytes", F.when(size > 0, F.round(asked, 9)).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def mix(
@@ -98,12 +127,14 @@ def mix(
     key = F.coalesce(quoted(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(quoted(text_col), F.lit("")))))
     steps = rates.select(F.col("source").alias("__gm_source"), "rate", poisson_steps(F.col("rate")).alias("__gm_steps"))
     drawn = docs.join(steps, quoted(source_col).eqNullSafe(F.col("__gm_source")))
-    count = let(uniform(key, seed), lambda u: F.size(F.filter("__gm_steps", lambda c: c <= u))).cast("long")
+    count = let(uniform(key, seed), lambda u: F.col("__gm_steps.first") + F.size(F.filter("__gm_steps.c", lambda c: c <= u)))
     counted = drawn.withColumn("n_copies", F.when(F.col("rate") > 0, count).otherwise(F.lit(0).cast("long"))).drop(
         "__gm_steps", "__gm_source"
     )
-    copies = counted.filter("n_copies > 0").withColumn(
-        "copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1))
+    last, one = F.col("n_copies") - 1, F.lit(1).cast("long")
+    blocks = counted.filter("n_copies > 0").withColumn("__gm_block", F.explode(F.sequence(one - 1, last, F.lit(BLOCK).cast("long"))))
+    copies = blocks.withColumn(
+        "copy_no", F.explode(F.sequence("__gm_block", F.least(last, F.col("__gm_block") + (BLOCK - 1)), one))
     )
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat(F.lit(seed + "#"), key, F.lit("#"), F.col("copy_no").cast("string"))))
     columns = [*docs.columns, *OUTPUTS]
