@@ -142,11 +142,14 @@ _POOLS = {k: tuple(v.split()) for k, v in FIRST_NAMES.items()}
 _POOL_OF = {name: k for k, pool in _POOLS.items() for name in pool}
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
 _CAP = r"[A-ZÀ-ÖØ-ÝА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+(?:-[A-ZÀ-ÖØ-ÝА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+)?"
+_FIRST = "|".join(sorted(_POOL_OF, key=len, reverse=True))
 _NAME = re.compile(
     rf"\b(?:(?P<title>{'|'.join(TITLES)})\.?[ ](?:(?P<given>{_CAP})[ ])?(?P<family>{_CAP})"
-    rf"|(?P<first>{'|'.join(sorted(_POOL_OF, key=len, reverse=True))})[ ](?P<last>{_CAP}))\b"
+    rf"|(?P<first>(?:{_FIRST})(?:-(?:{_FIRST}))?)[ ](?P<last>{_CAP}))\b"
 )
-_NAME_STARTS = frozenset([*_POOL_OF, *TITLES, *(t + "." for t in TITLES)])
+#: A person's span begins with one of these, as a whole run of word characters.
+_NAME_STARTS = frozenset([*_POOL_OF, *TITLES])
+_RUN = re.compile(r"\w+")
 
 # ---------------------------------------------------------------- detection
 
@@ -155,6 +158,8 @@ _SECRET = re.compile(
     r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"'<>,;]{6,512})"
 )
 _ACCESS = re.compile(r"(?a)\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,1000})")
+#: What every access key holds.
+_KEY_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ")
 _IBAN = re.compile(r"(?a)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _NUMBER = re.compile(
     r"(?a)(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -185,8 +190,9 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     digits = _DIGIT.search(text) is not None
     if "=" in text or ":" in text:
         found += [(*m.span("v"), 0, "secret") for m in _SECRET.finditer(text)]
-    if digits:
+    if any(mark in text for mark in _KEY_MARKS):
         found += [(*m.span(), 1, "access_key") for m in _ACCESS.finditer(text)]
+    if digits:
         for m in _IBAN.finditer(text):
             if 15 <= len(flat := m[0].replace(" ", "")) <= 34 and _mod97(flat) == 1:
                 found.append((*m.span(), 2, "iban"))
@@ -198,7 +204,7 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
             found.append((*m.span(), 4, kind))
     if "@" in text:
         found += [(*m.span(), 3, "email") for m in _EMAIL.finditer(text)]
-    if not _NAME_STARTS.isdisjoint(text.split()):
+    if not _NAME_STARTS.isdisjoint(_RUN.findall(text)):
         found += [(*m.span(), 5, "person") for m in _NAME.finditer(text)]
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
