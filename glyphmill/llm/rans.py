@@ -186,11 +186,23 @@ class Reader:
             raise ValueError(f"block {k} has {len(ids)} tokens instead of {n}")
         return ids
 
-    def documents(self):
-        """(doc_id, start, ids) of each document, in order; holds one block and one document."""
-        k, held, at, start = 0, np.empty(0, np.uint32), 0, self.base
-        for doc_id, n in self.docs:
-            parts, need = [], n
+    def documents(self, first: int = 0, last: int | None = None):
+        """(doc_id, start, ids) of each document that begins in the blocks from ``first`` up to ``last``, in order.
+
+        Holds one block and one document.  Documents without tokens belong to
+        the block before which they stand, or to the last one.
+        """
+        sizes = np.array([n for _, n in self.docs], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        begins = np.array([b[2] for b in self.blocks] or [0], np.int64)
+        of = np.clip(np.searchsorted(begins, starts, "right") - 1, 0, len(begins) - 1)
+        lo, hi = np.searchsorted(of, [first, len(begins) if last is None else max(last, 1)])
+        k, held, at = first, np.empty(0, np.uint32), 0
+        if lo < hi and self.blocks:
+            held, k = self.block(first), first + 1
+            at = int(starts[lo] - begins[first])
+        for doc_id, n in self.docs[lo:hi]:
+            start, parts, need = self.base + int(starts[lo]), [], n
             while need:
                 if at == len(held):
                     held, at, k = self.block(k), 0, k + 1
@@ -199,4 +211,4 @@ class Reader:
                 at += len(piece)
                 need -= len(piece)
             yield doc_id, start, parts[0] if len(parts) == 1 else np.concatenate([*parts, np.empty(0, np.uint32)])
-            start += n
+            lo += 1

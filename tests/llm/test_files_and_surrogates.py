@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,13 +84,55 @@ def random_texts(n, seed=1):
     return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(n)]
 
 
+def equal_to_the_library(own, texts):
+    """Texts in slices of one piece tokenizer against the library's own encoding."""
+    lengths, flat = own.encode(pa.array(texts, pa.string()))
+    ends = np.cumsum(lengths, dtype=np.int64)
+    for text, n, end, found in zip(texts, lengths.tolist(), ends.tolist(), own.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert flat[end - n : end].tolist() == [*found.ids, 0], repr(text)
+
+
 @pytest.mark.parametrize("most", [10, 100_000])
 def test_pieces_equal_whole_texts(most):
     own = token_files.PieceTokenizer(PATH, most)
     assert own.by_piece
     texts = random_texts(6000)
-    for text, found in zip(texts, own.tokenizer.encode_batch(texts, add_special_tokens=False)):
-        assert own(text) == struct.pack(f"<{len(found.ids)}I", *found.ids), repr(text)
+    for at in range(0, 6000, 1000):
+        equal_to_the_library(own, texts[at : at + 1000])
+    assert own("a b") == struct.pack("<2I", *own.tokenizer.encode("a b").ids) and own("") == b""
+
+
+def test_every_character_equals_the_library():
+    own = token_files.PieceTokenizer(PATH)
+    marks = [chr(c) for c in range(128)]
+    equal_to_the_library(own, [t for c in marks for t in (c, f"say word{c} more", f"{c}word", f"a {c}b", f"a{c}b", f"a{c}", f"x\n{c}y", f"x{c}\ny", f"x{c}{c} y", f"x {c}")])
+    rng = random.Random(9)
+    equal_to_the_library(own, [f"ab{a}{b} {b}cd{a}" for a in marks for b in rng.sample(marks, 40)])
+    # all code points up to U+1FFFF but surrogates: alone in a text where white space may look ahead, then many to a text
+    points = [chr(c) for c in range(128, 0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4000):
+        part = points[at : at + 4000]
+        equal_to_the_library(own, [f"ab{c} {c}cd a{c}b {c}\n{c}" for c in part])
+
+
+def test_copies_fill_many_partitions_and_blocks_are_read_in_parallel(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rans, "BLOCK_TOKENS", 300)
+    rows = [(7, "the same words again " * 5)] * 600 + [(i, f"words {i} " * (i % 50)) for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.encode(docs, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.filter("tokens > 0").count() > 2 and manifest.agg(F.max("tokens")).first()[0] < 0.5 * manifest.agg(F.sum("tokens")).first()[0]
+    tasks = token_files._tasks(manifest)
+    assert tasks.groupBy("path").count().agg(F.max("count")).first()[0] > 1
+    found = token_files.digests(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows) and found[-1].start + found[-1].n_tokens == manifest.agg(F.sum("tokens")).first()[0]
+    ids = token_files.PieceTokenizer(PATH).tokenizer
+    sizes = {i: len(ids.encode(t).ids) + 1 for i, t in rows if i != 7}
+    assert all(r.n_tokens == sizes[r.doc_id] for r in found if r.doc_id != 7)
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 5000, 200_000])
