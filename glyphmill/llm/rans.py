@@ -118,8 +118,8 @@ def decode_block(data: bytes, table: Table) -> np.ndarray:
 class Writer:
     """Writes one file; documents come in order, blocks end where they must."""
 
-    def __init__(self, out, table: Table, base: int):
-        self.out, self.table, self.base = out, table, base
+    def __init__(self, out, table: Table, base: int, block_tokens: int = BLOCK_TOKENS):
+        self.out, self.table, self.base, self.block_tokens = out, table, base, block_tokens
         self.pending: list[np.ndarray] = []
         self.held = self.tokens = 0
         self.docs: list[tuple] = []
@@ -133,14 +133,14 @@ class Writer:
         self.docs.append((doc_id, len(ids)))
         self.pending.append(ids)
         self.held += len(ids)
-        if self.held >= BLOCK_TOKENS:
+        if self.held >= self.block_tokens:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
         flat = np.concatenate(self.pending) if self.pending else np.empty(0, np.uint32)
         at = 0
-        while len(flat) - at >= BLOCK_TOKENS or (last and at < len(flat)):
-            ids = flat[at : at + BLOCK_TOKENS]
+        while len(flat) - at >= self.block_tokens or (last and at < len(flat)):
+            ids = flat[at : at + self.block_tokens]
             data = encode_block(ids, self.table)
             self.blocks.append((self.at, len(data), self.tokens, len(ids), zlib.crc32(data)))
             self.out.write(data)
@@ -199,8 +199,8 @@ class Reader:
         lo, hi = np.searchsorted(of, [first, len(begins) if last is None else max(last, 1)])
         k, held, at = first, np.empty(0, np.uint32), 0
         if lo < hi and self.blocks:
-            held, k = self.block(first), first + 1
-            at = int(starts[lo] - begins[first])
+            k = int(of[lo])
+            held, at, k = self.block(k), int(starts[lo] - begins[k]), k + 1
         for doc_id, n in self.docs[lo:hi]:
             start, parts, need = self.base + int(starts[lo]), [], n
             while need:

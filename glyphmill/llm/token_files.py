@@ -31,8 +31,8 @@ import json
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,12 +43,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import delete_path, materialise, quoted, scratch_path
-from .rans import Reader, Table, Writer
+from .rans import BLOCK_TOKENS, Reader, Table, Writer
 
 END_ID = 0
 #: Pieces that a worker keeps, at some 50 bytes each, and pre-tokens inside of new ones, at some 200.
-MOST_PIECES = 3_000_000
-MOST_INNER = 400_000
+MOST_PIECES = 1_200_000
+MOST_INNER = 200_000
 CHUNK_TOKENS = 1 << 20
 #: Bytes of text that are cut into pieces at once.
 SLICE_BYTES = 8 << 20
@@ -155,46 +155,46 @@ class PieceTokenizer:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.known = Known(most)
         #: ids of pre-tokens, written in byte letters
-        self.inner: dict[str, list[int]] = {}
+        self.inner: dict[str, bytes] = {}
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
-        self.newline = self._ids(chr(self.letters[10])) if self.by_piece else []
+        self.newline = self._ids(chr(self.letters[10])) if self.by_piece else b""
         self.space = chr(self.letters[32])
-        self.end = [end_id]
+        self.end = struct.pack("=I", end_id)
 
     def _written(self, word: str) -> str:
         """A word in byte letters."""
         return word.encode().decode("latin-1").translate(self.letters)
 
-    def _ids(self, token: str) -> list[int]:
+    def _ids(self, token: str) -> bytes:
         """Ids of one pre-token in byte letters, kept for the next time."""
         ids = self.inner.get(token)
         if ids is None:
             if len(self.inner) >= MOST_INNER:
                 self.inner.clear()
-            self.inner[token] = ids = [t.id for t in self.model.tokenize(token)]
+            self.inner[token] = ids = array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
         return ids
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _body(self, body: str, space: str) -> list[int]:
+    def _body(self, body: str, space: str) -> bytes:
         """Ids of a piece without its mark; ``space`` stands before it, or nothing."""
         m = _PLAIN.fullmatch(body)
         # an apostrophe at the beginning may begin a contraction
         if m is None or (m[1] and not space and "'" in m[1]):
             made = self.tokenizer.pre_tokenizer.pre_tokenize_str(" " + body if space else body)
-            return [i for token, _ in made for i in self._ids(token)]
+            return b"".join([self._ids(token) for token, _ in made])
         before, word, after = m.groups()
-        out: list[int] = []
+        out = b""
         if before:
-            out += self._ids(space + before)
+            out = self._ids(space + before)
             space = ""
         if word:
             out += self._ids(space + (word if word.isascii() else self._written(word)))
         return out + self._ids(after) if after else out
 
-    def _piece(self, piece: str, texts: pa.Array) -> list[int]:
+    def _piece(self, piece: str, texts: pa.Array) -> bytes:
         """Ids of a piece of the prepared texts."""
         if piece.isalpha() and piece.isascii():
             return self._ids(self.space + piece)
@@ -206,7 +206,7 @@ class PieceTokenizer:
         body = piece[1:]
         if body[:1] == _WHOLE:
             return self.whole(texts[int(body[1:])].as_py())
-        ids = self._body(body, "") if body else []
+        ids = self._body(body, "") if body else b""
         return self.newline + ids if mark == _LINE else ids
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -225,14 +225,20 @@ class PieceTokenizer:
         if missing.any():
             new = coded.dictionary.filter(pa.array(missing))
             found = [self._piece(piece, texts) for piece in new.to_numpy(zero_copy_only=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            known.add(new, sizes, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())))
-            at[missing] = old + np.arange(len(found))
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            known.add(new, sizes, np.frombuffer(b"".join(found), np.uint32))
+            del found
+            at[missing] = old + np.arange(len(sizes))
         place = at[coded.indices.to_numpy()]
         each = known.sizes[place]
         upto = np.cumsum(each)
         # each piece's place in the table less its place in the result, then a step for each id
-        flat = known.ids[np.repeat(known.starts[place] - upto + each, each) + np.arange(upto[-1] if len(upto) else 0)]
+        total = int(upto[-1]) if len(upto) else 0
+        small = np.int32 if max(total, len(known.ids)) < 1 << 31 else np.int64
+        take = np.repeat((known.starts[place] - upto + each).astype(small), each)
+        take += np.arange(total, dtype=small)
+        flat = known.ids[take]
+        del take, place
         first = cut.offsets.to_numpy()
         before = np.concatenate([[0], upto])
         lengths = np.diff(before[first - first[0]]).astype("<u4")
@@ -349,6 +355,7 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = END_ID,
+    block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """Writes token files and their table; returns the manifest (path, table, base, tokens, blocks)."""
     spark = docs.sparkSession
@@ -377,7 +384,7 @@ def encode(
         for batch in batches:
             for path, wide, base, tokens in zip(batch.path, batch.wide, batch.base, batch.tokens):
                 to = f"{folder}/{uuid.uuid4().hex}.rans"
-                writer = Writer(open_out(to), own, int(base))
+                writer = Writer(open_out(to), own, int(base), block_tokens)
                 for keys, known, lengths, flat in _read_raw(path, wide):
                     flat = flat.astype(np.uint32)
                     ends = np.cumsum(lengths, dtype=np.int64)

@@ -115,14 +115,13 @@ def test_every_character_equals_the_library():
         equal_to_the_library(own, [f"ab{c} {c}cd a{c}b {c}\n{c}" for c in part])
 
 
-def test_copies_fill_many_partitions_and_blocks_are_read_in_parallel(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(rans, "BLOCK_TOKENS", 300)
+def test_copies_fill_many_partitions_and_blocks_are_read_in_parallel(spark, tmp_path):
     rows = [(7, "the same words again " * 5)] * 600 + [(i, f"words {i} " * (i % 50)) for i in range(1200)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(6).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        manifest = token_files.encode(docs, PATH)
+        manifest = token_files.encode(docs, PATH, block_tokens=300)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert manifest.filter("tokens > 0").count() > 2 and manifest.agg(F.max("tokens")).first()[0] < 0.5 * manifest.agg(F.sum("tokens")).first()[0]
@@ -173,8 +172,7 @@ def test_damage_is_seen():
         rans.Reader(io.BytesIO(data), len(data), rans.Table(np.array([1, 2, 3])))
 
 
-def test_token_files_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(rans, "BLOCK_TOKENS", 700)
+def test_token_files_round_trip(spark, tmp_path):
     texts = [*random_texts(300, 3), None, "", "word " * 30000]
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(14, texts[2]), (None, "no id")]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
@@ -195,6 +193,8 @@ def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     ids = {r.doc_id: r.ids for r in token_files.decode(token_files.encode(docs, PATH)).collect()}
     assert ids == {1: [*tokenizer.encode("a b").ids, 0], 2: [0]}
     assert token_files.digests(token_files.encode(docs.limit(0), PATH)).count() == 0
+    small = token_files.digests(token_files.encode(spark.read.parquet(str(tmp_path / "documents.parquet")), PATH, block_tokens=700))
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, found), key=str)
 
 
 # ---------------------------------------------------------------- surrogates
