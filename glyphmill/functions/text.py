@@ -18,7 +18,7 @@ BLANKS = " \t\r\n"
 
 
 def byte_view(text: Column) -> Column:
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.decode(text.cast("binary"), "ISO-8859-1")
 
 
 def raw_tokens(text: Column, is_bytes: bool = False) -> Column:

@@ -188,6 +188,12 @@ SQL = {
         f"{_VOCABULARY}, {_WORDS_OF_COUNTS}, {_segments('needed')}, {_STATS.format(source='wc')}",
         "select cast(cnt as varchar) as value, count(*)::bigint as n from stats group by 1", True,
     ),
+    "csv_fields": _with(
+        f"{_LINES}, low as (select distinct trim(line, {_TRIM}) as l from lines where length(trim(line, {_TRIM})) > 0)",
+        "select case when length(l) >= 2 and l[1] = '\"' and l[-1] = '\"' then replace(l[2:-2], '\"\"', '\"') "
+        "when length(l) >= 2 and l[1] = chr(39) and l[-1] = chr(39) then l[2:-2] else l end as c0, "
+        "length(l)::varchar || 'x' as c1, '' as c2, chr(39) || 'q' || chr(39) || length(l)::varchar || chr(39) || 'z' as c3, 5.0::double as number, 5::bigint as n_cells from low",
+    ),
     "train_save_load": _with(_VOCABULARY, _rank("vocab")),
     "stream_word_counts": _with(_counts(), "select token, cnt from wc"),
     "xorshift_uniform": _with(

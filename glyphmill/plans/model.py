@@ -74,13 +74,20 @@ def learn(texts: DataFrame, settings: Settings = Settings(), is_bytes: bool = Fa
     return Model(settings, vocabulary, token_stats(counts, vocabulary), counts, merges)
 
 
-def train(spark: SparkSession, folder: str, out: str, settings: Settings = Settings(), hidden: bool = False) -> Model:
-    """Learns from a folder of text files and saves the result."""
-    model = learn(texts_of_lines(read_lines(spark, folder, hidden)), settings, is_bytes=hidden)
+def train(spark: SparkSession, folder: str, out: str, settings: Settings = Settings()) -> Model:
+    """Learns from the bytes of all files of a folder and saves the result."""
+    model = learn(texts_of_lines(read_lines(spark, folder)), settings, is_bytes=True)
     model.save(out)
     return model
 
 
+def train_and_segment(spark: SparkSession, folder: str, out: str, sentence: str, settings: Settings = Settings()) -> tuple[Model, list[str]]:
+    """The whole chain: counts, vocabulary, statistics, vectors, all saved, and then the tokens of a sentence."""
+    model = train(spark, folder, out, settings)
+    row = model.segment(spark.createDataFrame([(sentence,)], "text string")).first()
+    return model, list(row.tokens)
+
+
 def load(spark: SparkSession, folder: str, settings: Settings = Settings()) -> Model:
     """A saved model: its vocabulary is that of its token statistics."""
     return Model(settings, load_vocabulary(spark, folder), read_token_counts(spark, f"{folder}/final_token_stats"))

@@ -273,6 +273,20 @@ def stats_column_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_column(spark, path, 1).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct lines as quoted fields with blanks around, an empty one, one in single quotes and a number with a tail; read back."""
+    path = own_path(spark, "fields")
+    line = T.trimmed(F.col("line"))
+    quoted = F.concat(F.lit(' "'), F.replace(line, F.lit('"'), F.lit('""')), F.lit('" ,'))
+    rest = F.concat(F.lit(' "'), F.length(line).cast("string"), F.lit("x\" , ,'q'"), F.length(line).cast("string"), F.lit("'z, .5e1y ,"))
+    made = _lines(spark, sf_dir).filter(F.length(line) > 0).select(F.concat(quoted, rest).alias("value")).distinct()
+    made.write.text(path)
+    cells = tables.read_cells(spark, path)
+    number = tables.leading_number(F.get("cells", F.lit(4)))
+    names = [F.get("cells", F.lit(k)).alias(f"c{k}") for k in range(4)]
+    return cells.select(*names, number.cast("double").alias("number"), F.size("cells").cast("long").alias("n_cells"))
+
+
 def _text_files(spark: SparkSession, sf_dir: str) -> str:
     path = own_path(spark, "text-files")
     _read(spark, sf_dir, "documents").select("text").write.text(path)
@@ -301,6 +315,6 @@ QUERIES = {
         bpe_merges_literal_first, bpe_merges_literal, vocabulary_ranked, segment_words, segment_sentences, token_stats,
         vocabulary_strays, token_stats_csv, unique_tokens_csv, embedding_coefficients, token_vectors, token_vectors_csv,
         xorshift_uniform, vector_inverse, zero_vector_guard, embedding_lookup, embedding_at_rank, embedding_update, csv_escape,
-        header_predicate, trim_quotes, vector_matrix_csv, stats_column_csv, train_save_load, stream_word_counts,
+        header_predicate, trim_quotes, vector_matrix_csv, stats_column_csv, csv_fields, train_save_load, stream_word_counts,
     )
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,51 +12,77 @@ from pyspark.sql import functions as F
 from ..functions.text import line_count
 
 CHUNK = 1 << 22
+#: Bytes of a file that one task of the reader for odd names begins with.
+RANGE = 64 << 20
 #: Inputs of fewer bytes are spread over all cores.
 SMALL = 256 << 20
+#: Names that Spark's text source leaves out, or whose content it would decompress.
+_ODD = re.compile(r"(?i)^[._]|\.(?:gz|gzip|bz2|deflate|lz4|snappy|zst|xz)$")
 
 
-def read_lines(spark: SparkSession, folder: str, hidden: bool = False) -> DataFrame:
-    """(path, line) of every regular file directly in a folder; lines end at \\n only.
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, line) of every regular file directly in a folder, whatever its name; lines end at \\n only.
 
-    Spark's text source leaves out names that start with ``_`` or ``.``;
-    ``hidden=True`` reads the listed files with a reader of our own, as bytes,
-    one character for each.
+    Lines are byte views: one character for each byte as it is in the file.
+    Files with common names are read by Spark's text source, by splits; hidden
+    and compressed names, which that source treats in its own way, by a reader
+    of byte ranges.
     """
-    if not hidden:
-        return (
-            spark.read.option("lineSep", "\n").option("recursiveFileLookup", "false").text(folder)
-            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
-        )
-    files = list_files(spark, folder)
+    files = sized_files(spark, folder)
     if not files:
         raise FileNotFoundError(f"no files in {folder}")
-    paths = spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 1000))
-    return paths.mapInPandas(_lines_of_files, "path string, line string")
-
-
-def _lines_of_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    odd = [f for f in files if _ODD.search(f[0].rpartition("/")[2])]
+    plain = [f[0] for f in files if f not in odd]
+    parts = []
+    if plain:
+        rows = spark.read.option("lineSep", "\n").text(plain)
+        view = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+        parts.append(rows.select(F.col("_metadata.file_path").alias("path"), view.alias("line")))
+    if odd:
+        ranges = [(f, at, min(at + RANGE, n)) for f, n in odd for at in range(0, n, RANGE)]
+        table = spark.createDataFrame(ranges, "path string, first long, last long").repartition(max(1, min(len(ranges), 1000)))
+        parts.append(table.mapInPandas(_lines_of_ranges, "path string, line string"))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
+def _lines_of_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines that begin in each range of bytes."""
     from pyarrow import fs
 
     for batch in batches:
-        for path in batch.path:
-            plain = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
-            system, where = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(plain)
-            with system.open_input_stream(where, compression=None) as stream:
-                left = b""
-                while chunk := stream.read(CHUNK):
+        for path, first, last in zip(batch.path, batch["first"], batch["last"]):
+            bare = "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+            system, where = (fs.LocalFileSystem(), bare) if bare.startswith("/") else fs.FileSystem.from_uri(bare)
+            with system.open_input_file(where) as stream:
+                # the byte before the range tells whether a line begins with it
+                pos, skip, left = max(int(first) - 1, 0), first > 0, b""
+                stream.seek(pos)
+                while pos < last:
+                    chunk = stream.read(CHUNK)
                     *whole, left = (left + chunk).split(b"\n")
-                    yield pd.DataFrame({"path": path, "line": [w.decode("latin-1") for w in whole]})
-                if left:
-                    yield pd.DataFrame({"path": [path], "line": [left.decode("latin-1")]})
+                    if not chunk and left:
+                        whole, left = [left], b""
+                    lines = []
+                    for line in whole:
+                        if not skip and pos < last:
+                            lines.append(line.decode("latin-1"))
+                        skip, pos = False, pos + len(line) + 1
+                    yield pd.DataFrame({"path": path, "line": lines})
+                    if not chunk:
+                        break
 
 
 def list_files(spark: SparkSession, folder: str) -> list[str]:
     """Regular files directly in a folder, of any extension, hidden ones too."""
+    return [path for path, _ in sized_files(spark, folder)]
+
+
+def sized_files(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the regular files directly in a folder, by path."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return sorted(s.getPath().toString() for s in fs.listStatus(at) if s.isFile())
+    return sorted((s.getPath().toString(), int(s.getLen())) for s in fs.listStatus(at) if s.isFile())
 
 
 def texts_of_lines(lines: DataFrame) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset a temporary folder is made and set."""
+    """``spark.checkpoint.dir``; only in a local session without one a temporary folder is made and set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="glyphmill-"))
         current = spark.sparkContext.getCheckpointDir()
     return (named or current).rstrip("/")
@@ -20,3 +22,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 def own_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/glyphmill/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a scratch path whose readers are done."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -5,46 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import csv_always_quoted, csv_field, trimmed
+from ..functions.text import csv_always_quoted, csv_field, trimmed, unquoted
+
+#: A quoted run up to its closing quote or the line's end; possessive, so that its length costs no stack.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+(?:"\s*+,?|\z)'
+#: One field with its comma.  What follows a closing quote directly is a field of its own.
+_FIELD = rf'\s*+(?:{_QUOTED}|[^",][^,]*+(?:,|\z)|,)'
+#: In rows of vectors an empty field that another comma follows takes that comma too.
+_NUMBER_FIELD = rf'\s*+(?:(?:""\s*+)?,,|{_QUOTED}|[^",][^,]*+(?:,|\z)|,)'
+_FLOAT = r'^\s*([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?|nan)))'
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines that aren't blank, trimmed, with their order in the file."""
+    """Lines that aren't blank, trimmed, with their place: file, split, row."""
     raw = spark.read.option("lineSep", "\n").text(path)
-    kept = raw.select(trimmed(F.col("value")).alias("line"), F.monotonically_increasing_id().alias("at"))
-    return kept.filter(F.length("line") > 0)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return raw.select(trimmed(F.col("value")).alias("line"), place.alias("at")).filter(F.length("line") > 0)
 
 
-def _fields(spark: SparkSession, path: str) -> DataFrame:
-    """Lines as arrays of fields: quotes open and close, doubled quotes are one; a trailing comma adds no field.
+def _content(field: Column) -> Column:
+    """What a field holds, as it stands: without its comma, its quotes and the blanks before it."""
+    bare = F.regexp_replace(field, r"^\s+", "")
+    inner = F.replace(F.regexp_extract(bare, r'^"([^"]*+(?:""[^"]*+)*+)', 1), F.lit('""'), F.lit('"'))
+    plain = F.when(F.endswith(bare, F.lit(",")), F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
+    return F.when(F.startswith(bare, F.lit('"')), inner).otherwise(plain)
+
+
+def _cell(field: Column) -> Column:
+    """A field as the readers use it: trimmed, then without outer quotes."""
+    return unquoted(trimmed(_content(field)))
 
-    A field is a quoted run or a run without commas; spaces before it are skipped.
-    """
-    found = F.regexp_extract_all("line", F.lit(r'\s*("(?:[^"]|"")*"|[^,]*)(?:,|$)'), 1)
-    # the pattern also matches the empty end, once
-    cells = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
 
-    def bare(c: Column) -> Column:
-        inner = F.substring(c, F.lit(2), F.length(c) - 2)
-        quoted = F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) >= 2)
-        return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(trimmed(c))
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(at, cells): lines as arrays of fields: blanks before a field and behind a closing quote are skipped, a trailing comma adds none."""
+    cells = F.transform(F.regexp_extract_all("line", F.lit(_FIELD), 0), _cell)
+    return _lines(spark, path).select("at", cells.alias("cells"))
 
-    return _lines(spark, path).select("at", F.transform(cells, bare).alias("cells"))
+
+def leading_number(text: Column) -> Column:
+    """The decimal number that a text begins with; null without one, or beyond the range of a float."""
+    found = F.regexp_extract(text, _FLOAT, 1)
+    value = found.try_cast("float")
+    endless = (F.abs(value) == F.lit(float("inf"))) & ~found.rlike("(?i)inf")
+    return F.when(~endless, value)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(row, values): floats; a field that is no number is 0."""
-    values = F.transform("cells", lambda c: F.coalesce(c.try_cast("float"), F.lit(0.0).cast("float")))
-    return _fields(spark, path).select(F.col("at").alias("row"), values.alias("values"))
+    """(row, values): floats, by the number that a field begins with; a field without one is 0."""
+    values = F.transform("cells", lambda c: F.coalesce(leading_number(c), F.lit(0.0).cast("float")))
+    return read_cells(spark, path).select(F.col("at").alias("row"), values.alias("values"))
 
 
 def read_first_column(spark: SparkSession, path: str) -> DataFrame:
-    return _fields(spark, path).select(F.coalesce(F.get("cells", F.lit(0)), F.lit("")).alias("token"))
+    return read_cells(spark, path).select(F.coalesce(F.get("cells", F.lit(0)), F.lit("")).alias("token"))
 
 
 def read_column(spark: SparkSession, path: str, index: int) -> DataFrame:
     """The field at an index from 0; empty where a line is shorter, nothing for a negative index."""
-    cells = _fields(spark, path)
+    cells = read_cells(spark, path)
     if index < 0:
         cells = cells.filter(F.lit(False))
     return cells.select(F.coalesce(F.get("cells", F.lit(index)), F.lit("")).alias("value"))
@@ -53,7 +74,7 @@ def read_column(spark: SparkSession, path: str, index: int) -> DataFrame:
 def read_token_counts(spark: SparkSession, path: str) -> DataFrame:
     """(token, cnt): the leading number of the second field; lines without one go; the last line of a token wins."""
     number = F.regexp_extract(F.get("cells", F.lit(1)), r"^\s*([+-]?\d+)", 1)
-    rows = _fields(spark, path).select(
+    rows = read_cells(spark, path).select(
         F.get("cells", F.lit(0)).alias("token"), number.try_cast("long").alias("cnt"), "at"
     )
     kept = rows.filter("token is not null and cnt is not null")
@@ -61,12 +82,24 @@ def read_token_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_token_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(token, embedding): lines with an empty token or a field that is no number go; the last line wins."""
-    rest = F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0)))
-    rows = _fields(spark, path).select(
-        F.get("cells", F.lit(0)).alias("token"), F.transform(rest, lambda c: c.try_cast("float")).alias("embedding"), "at"
-    )
-    good = rows.filter(F.length("token") > 0).filter(~F.exists("embedding", lambda x: x.isNull()))
+    """(token, embedding): lines with an empty token or without numbers go, and those with a field that is none; the last line wins.
+
+    An empty field is 0 where a further comma follows it directly (both commas
+    are one separator then), and at the line's end behind such a pair or behind
+    the token; elsewhere it is no number.
+    """
+    first = F.regexp_extract("line", "^" + _FIELD, 0)
+    parts = _lines(spark, path).select("at", "line", _cell(first).alias("token"), F.substring("line", F.length(first) + 1, F.length("line")).alias("rest"))
+    found = F.regexp_extract_all("rest", F.lit(_NUMBER_FIELD), 0)
+    zero = F.lit(0.0).cast("float")
+
+    def is_pair(field: Column) -> Column:
+        return field.rlike(r'^\s*(?:""\s*)?,,$')
+
+    values = F.transform(found, lambda f: F.when(is_pair(f), zero).otherwise(leading_number(trimmed(unquoted(_content(f))))))
+    one_more = F.when(F.length("rest") == 0, F.endswith("line", F.lit(","))).otherwise(is_pair(F.element_at(found, -1)))
+    made = parts.select("at", "token", F.when(one_more, F.concat(values, F.array(zero))).otherwise(values).alias("embedding"))
+    good = made.filter(F.length("token") > 0).filter(F.size("embedding") > 0).filter(~F.exists("embedding", lambda x: x.isNull()))
     return good.groupBy("token").agg(F.max_by("embedding", "at").alias("embedding"))
 
 

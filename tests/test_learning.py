@@ -167,3 +167,12 @@ def test_token_stats_have_every_token(spark):
     stats = {r.token: r.cnt for r in S.token_stats(counts, vocabulary(spark)).collect()}
     assert stats["low"] == 5 and stats["."] == 2 and stats["newest</w>"] == 0 and stats["z"] == 1 and stats["</w>"] == 6
     assert {r.token for r in S.strays(S.token_stats(counts, vocabulary(spark)), vocabulary(spark)).collect()} == {"q", "u", "z", "."}
+
+
+def test_literal_learning_has_a_limit(spark, monkeypatch):
+    monkeypatch.setattr(L, "LOCAL_WORDS", 3)
+    counts = spark.createDataFrame([(w, 2) for w in ("abab", "cab", "bca", "abc")], "token string, cnt long")
+    with pytest.raises(ValueError, match="canonical"):
+        L.learn_merges(counts, Settings(num_merges=4))
+    far = L.learn_merges(counts, Settings(num_merges=4, semantics="canonical")).collect()
+    assert far == L.replay_merges(counts, 4, "canonical").collect()

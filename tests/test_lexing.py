@@ -1,5 +1,8 @@
 """Byte lexing, case splits and word counts on hand-sized inputs."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,12 +100,27 @@ def test_small_text_functions(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"one two\r\nthree")
     (tmp_path / "_b.dat").write_bytes(b"\xff\n\n")
-    seen = corpus.read_lines(spark, str(tmp_path))
-    assert sorted(r.line for r in seen.collect()) == ["one two\r", "three"]
-    every = corpus.read_lines(spark, str(tmp_path), hidden=True)
-    assert sorted(r.line for r in every.collect()) == ["", "one two\r", "three", "\xff"]
+    (tmp_path / "c.gz").write_bytes(b"not pressed\n")
+    (tmp_path / "d").write_bytes(b"\xfe\xc3 caf\xc3\xa9\n")
+    (tmp_path / "k=v").mkdir()
+    (tmp_path / "k=v" / "e.txt").write_bytes(b"below\n")
+    every = corpus.read_lines(spark, str(tmp_path))
+    assert sorted(r.line for r in every.collect()) == ["", "not pressed", "one two\r", "three", "\xfe\xc3 caf\xc3\xa9", "\xff"]
+    every = every.filter("not (path like '%.gz' or path like '%/d')")
     counts = {r.token: r.cnt for r in C.word_counts(corpus.texts_of_lines(every), is_bytes=True).collect()}
     assert counts == {"one": 1, "two": 1, "three": 1, "\xff": 1, "</s>": 4}
     assert corpus.count_file_lines(spark, str(tmp_path / "a.txt")) == 2
     assert corpus.count_file_lines(spark, str(tmp_path / "none")) == -1
     assert corpus.corpus_bytes(spark, str(tmp_path / "a.txt")) == 14
+
+
+def test_ranges_of_bytes(tmp_path):
+    rng = random.Random(3)
+    for data in (b"", b"\n", b"a", b"a\n", b"\n\n\nb", bytes(rng.choice(b"ab\n\xff") for _ in range(400))):
+        (tmp_path / "f").write_bytes(data)
+        want = data.decode("latin-1").split("\n")
+        want = want[:-1] if want[-1] == "" else want
+        for step in (1, 2, 7, 1000):
+            ranges = [(str(tmp_path / "f"), at, min(at + step, len(data))) for at in range(0, len(data), step)]
+            found = corpus._lines_of_ranges(iter([pd.DataFrame(ranges, columns=["path", "first", "last"])]))
+            assert [line for part in found for line in part.line] == want

@@ -1,6 +1,7 @@
 """CSV tables, vectors, whole runs, the stream."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,77 @@ def test_token_vectors(spark, tmp_path):
     assert {r.token: r.embedding for r in B.read_token_vectors(spark, path).collect()} == {"a": [5, 6]}
 
 
+def plain_fields(line):
+    """The fields of a line, character by character."""
+    out, at = [], 0
+    while at < len(line):
+        while at < len(line) and line[at].isspace():
+            at += 1
+        held = ""
+        if line[at : at + 1] == '"':
+            at += 1
+            while at < len(line):
+                if line[at] == '"':
+                    at += 1
+                    if line[at : at + 1] != '"':
+                        break
+                held += line[at]
+                at += 1
+            while at < len(line) and line[at].isspace():
+                at += 1
+            at += line[at : at + 1] == ","
+        else:
+            end = line.find(",", at)
+            end = len(line) if end < 0 else end
+            held, at = line[at:end], end + 1
+        out.append(held)
+    return out
+
+
+def bare(field):
+    field = field.strip(" \t\r\n")
+    if len(field) >= 2 and field[0] == field[-1] and field[0] in "'\"":
+        return field[1:-1].replace('""', '"') if field[0] == '"' else field[1:-1]
+    return field
+
+
+def test_fields_equal_a_plain_reader(spark, tmp_path):
+    rng = random.Random(5)
+    rows = ["".join(rng.choice(['"', '""', ",", " ", "a", "'", "1", "\t", 'x"', ", "]) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    rows = [r for r in rows if r.strip(" \t")]
+    path = lines(tmp_path, *rows)
+    got = [r.cells for r in B.read_cells(spark, path).orderBy("at").collect()]
+    for row, cells in zip(rows, got, strict=True):
+        assert cells == [bare(f) for f in plain_fields(row.strip(" \t\r\n"))], repr(row)
+
+
+def test_blanks_behind_quotes(spark, tmp_path):
+    path = lines(tmp_path, '"a" ,7', '"c,d" ,8', "'x',9", '"y"z,3', ' "q" , "12" ')
+    assert {r.token: r.cnt for r in B.read_token_counts(spark, path).collect()} == {"a": 7, "c,d": 8, "x": 9, "q": 12}
+
+
+def test_long_fields(spark, tmp_path):
+    path = lines(tmp_path, '"' + "x" * 1_000_000 + '",1', '"a' + '""' * 300_000 + '",2', "y" * 500_000 + ",3", "z,4")
+    assert {len(r.token): r.cnt for r in B.read_token_counts(spark, path).collect()} == {1_000_000: 1, 300_001: 2, 500_000: 3, 1: 4}
+
+
+def test_numbers_by_their_beginning(spark, tmp_path):
+    path = lines(tmp_path, "1.5abc,2e1x,.5,-3.,1e99,x1,,inf", "7")
+    assert [r["values"] for r in B.read_matrix(spark, path).orderBy("row").collect()] == [[1.5, 20, 0.5, -3, 0, 0, 0, math.inf], [7]]
+
+
+def test_empty_fields_of_vectors(spark, tmp_path):
+    path = lines(tmp_path, "a,,,3", "b,,3", "c,1,,,", "d,", "e", "f,1,", "g,1,,2", "h,1e99", 'i,"1.5x" ,2', 'j,"",,4', "k,1,,")
+    want = {"a": [0, 3], "c": [1, 0, 0], "d": [0], "f": [1], "i": [1.5, 2], "j": [0, 4]}
+    assert {r.token: r.embedding for r in B.read_token_vectors(spark, path).collect()} == want
+
+
+def test_last_line_wins_over_files(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"part-{k}.csv").write_text(f"a,{k}\n" + "b,1\n" * (1 if k == 3 else 2000))
+    assert {r.token: r.cnt for r in B.read_token_counts(spark, str(tmp_path)).collect()} == {"a": 3, "b": 1}
+
+
 def test_ranks(spark):
     rows = B.ranked(spark.createDataFrame([("b",), ("a",), ("abc",), ("",), ("a",)], "token string"))
     assert [(r["rank"], r.token, r.len) for r in rows.orderBy("rank").collect()] == [(0, "abc", 3), (1, "a", 1), (2, "b", 1)]
