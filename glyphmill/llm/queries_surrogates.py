@@ -9,7 +9,7 @@ from .common import table
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return surrogates.replace_checked(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op10_pii_surrogates": op10_pii_surrogates}

@@ -6,21 +6,28 @@ assigned secrets, and persons (a title or a known first name before a surname).
 A surrogate is a keyed permutation of all strings of the original's format:
 digits become digits, letters letters of the same script and case, and what
 gives a type its form (separators, country code, check digits, key prefix, top
-domain) stays right.  First names are permuted among names of the same gender
-and script, surnames on their own.  A permutation never maps two entities to one
-surrogate, and maps an entity to the same one in every document, so distinctness
-and coreference (also of a surname alone) need no table and no shuffle.  No
-entity is its own surrogate.  ``collisions`` checks it all the same.
-
-Defined results: a null text stays null; a text without entities stays as it is,
-byte by byte.  Equal texts get equal results.  Empty tables stay empty.  Columns
-named like outputs are replaced.
+domain) stays right.  Known first names are permuted among names of the same
+gender and script; vowels of other names stay vowels.  A permutation never maps
+two entities to one surrogate, and maps an entity to the same one in every
+document, so distinctness and coreference need no table and no shuffle.  Names
+of a text's persons are replaced where they stand alone, too.  No entity is its
+own surrogate.  ``replace_checked`` looks for collisions over all texts first.
+
+Not found: persons without a title or a known first name, names in scripts other
+than Latin, Cyrillic and Greek, assigned secrets of fewer than six characters.
+
+Defined results: a null text stays null; an empty text, or one without entities,
+stays as it is, byte by byte.  Very long texts are searched whole and entities
+have any length.  Where kinds overlap the more specific one wins, then the
+earlier span.  Repeated rows and equal texts get equal results.  Empty tables
+stay empty.  Columns named like outputs (in any case) are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -80,9 +87,16 @@ class Permutation:
 
         return walk((walk(x, False) + 1) % n, True)
 
-    def _text(self, tweak: str, text: str) -> str:
-        """Another string of the same format; a hexadecimal number stays one."""
-        classes = [_HEX if c in _HEX else _CLASS.get(c) for c in text] if _IS_HEX.fullmatch(text) else [_CLASS.get(c) for c in text]
+    def _text(self, tweak: str, text: str, spoken: bool = False) -> str:
+        """Another string of the same format; a hexadecimal number stays one, and nothing else becomes one.
+
+        ``spoken``: vowels stay vowels.  A string without letters or digits
+        becomes another one of marks.
+        """
+        is_hex = _IS_HEX.fullmatch(text) is not None
+        classes = [_SPOKEN.get(c) or _CLASS.get(c) if spoken else _HEX if is_hex else _CLASS.get(c) for c in text]
+        if not any(classes):
+            classes = [_SIGNS if c in _SIGNS else None for c in text]
         n, x = 1, 0
         for c, own in zip(text, classes):
             if own:
@@ -90,11 +104,12 @@ class Permutation:
                 n *= len(own)
         form = "".join(own[-1] if own else c for c, own in zip(text, classes))
         tag = f"{tweak}|{form}".encode("utf-8", "surrogatepass")
-        new = self._spell(self.number(tag, x, n), text, classes)
-        while _IS_HEX.fullmatch(text) and not _IS_HEX.fullmatch(new):  # digits alone would be another format
-            x = self.number(tag, int(new, 16), n)
+        # the permutation is one cycle, so walking on stays one on the strings that are, or aren't, hexadecimal
+        while True:
+            x = self.number(tag, x, n)
             new = self._spell(x, text, classes)
-        return new
+            if (_IS_HEX.fullmatch(new) is not None) == is_hex:
+                return new
 
     @staticmethod
     def _spell(x: int, text: str, classes: list) -> str:
@@ -119,9 +134,14 @@ _ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
+_ALPHABETS += ["".join(map(chr, range(a, z + 1))) for a, z in ((0x05D0, 0x05EA), (0x0621, 0x063A), (0x0641, 0x064A), (0x0905, 0x0939), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))]
+_SIGNS = "!#$%&()*+-./:=?@[]^_`{|}~"
 _HEX = "0123456789abcdef"
 _IS_HEX = re.compile(r"(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{8,}")
 _CLASS = {c: a for a in _ALPHABETS for c in a}
+#: Vowels and consonants of names apart, so that made names can be spoken.
+_VOWELS = set("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýаеёиоуыэюяαεηιουω")
+_SPOKEN = {c: "".join(x for x in a if (x.lower() in _VOWELS) == (c.lower() in _VOWELS)) for a in _ALPHABETS[1:9] for c in a}
 
 # ---------------------------------------------------------------- names
 
@@ -140,7 +160,7 @@ FIRST_NAMES = {
 }
 _POOLS = {k: tuple(v.split()) for k, v in FIRST_NAMES.items()}
 _POOL_OF = {name: k for k, pool in _POOLS.items() for name in pool}
-TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
+TITLES = ("Mr", "Mrs", "Ms", "Miss", "Mx", "Dr", "Prof", "Professor", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra")
 _CAP = r"[A-ZÀ-ÖØ-ÝА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+(?:-[A-ZÀ-ÖØ-ÝА-ЯЁΑ-Ω][a-zß-öø-ÿа-яёά-ώ]+)?"
 _FIRST = "|".join(sorted(_POOL_OF, key=len, reverse=True))
 _NAME = re.compile(
@@ -153,11 +173,11 @@ _RUN = re.compile(r"\w+")
 
 # ---------------------------------------------------------------- detection
 
-_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")
+_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 _SECRET = re.compile(
-    r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"'<>,;]{6,512})"
+    r"(?i)\b(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<v>[^\s\"'<>,;]{6,})"
 )
-_ACCESS = re.compile(r"(?a)\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{10,2000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,1000})")
+_ACCESS = re.compile(r"(?a)\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})")
 #: What every access key holds.
 _KEY_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox", "eyJ")
 _IBAN = re.compile(r"(?a)\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
@@ -205,14 +225,22 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     if "@" in text:
         found += [(*m.span(), 3, "email") for m in _EMAIL.finditer(text)]
     if not _NAME_STARTS.isdisjoint(_RUN.findall(text)):
-        found += [(*m.span(), 5, "person") for m in _NAME.finditer(text)]
+        alone: set[str] = set()
+        for m in _NAME.finditer(text):
+            found.append((*m.span(), 5, "person"))
+            alone.update(m[g] for g in ("family", "last") if m[g])
+            alone.update(m[g] for g in ("given", "first") if m[g] in _POOL_OF)
+        # names of the persons of this text, where they stand alone
+        if alone:
+            again = re.compile(rf"\b(?:{'|'.join(sorted(map(re.escape, alone), key=len, reverse=True))})\b")
+            found += [(*m.span(), 6, "person") for m in again.finditer(text)]
+    # disjoint spans in order of their places: only the neighbours can overlap
     out: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
     for start, end, _, kind in sorted(found, key=lambda f: (f[2], f[0])):
-        if all(end <= s or start >= e for s, e in taken):
-            taken.append((start, end))
-            out.append((start, end, kind))
-    return sorted(out)
+        at = bisect_left(out, (start,))
+        if (not at or out[at - 1][1] <= start) and (at == len(out) or end <= out[at][0]):
+            out.insert(at, (start, end, kind))
+    return out
 
 
 # ---------------------------------------------------------------- surrogates
@@ -238,12 +266,17 @@ class Surrogates:
         return "".join(out)
 
     def first_name(self, name: str) -> str:
-        if name in _POOL_OF:
-            pool = _POOLS[_POOL_OF[name]]
-            return pool[self.by.number(b"first|%d" % len(pool), pool.index(name), len(pool))]
-        other = self.by.text("given", name)
-        while other in _POOL_OF:
-            other = self.by.text("given", other)
+        """A known first name becomes one of the same gender and script, any other name another one that can be spoken."""
+        return "-".join(map(self._pooled, name.split("-"))) if all(part in _POOL_OF for part in name.split("-")) else self._made(name)
+
+    def _pooled(self, name: str) -> str:
+        pool = _POOLS[_POOL_OF[name]]
+        return pool[self.by.number(b"first|%d|%s" % (len(pool), pool[0].encode()), pool.index(name), len(pool))]
+
+    def _made(self, name: str) -> str:
+        other = self.by.text("name", name, True)
+        while all(part in _POOL_OF for part in other.split("-")):
+            other = self.by.text("name", other, True)
         return other
 
     def of(self, kind: str, text: str) -> str:
@@ -270,12 +303,12 @@ class Surrogates:
             return text[:keep] + self.by.text(kind, text[keep:])
         if kind == "person":
             m = _NAME.fullmatch(text)
-            assert m is not None
+            if m is None:  # a name that stands alone
+                return self.first_name(text)
             out, last = [], 0
             for group in ("given", "family", "first", "last"):
                 if m[group]:
-                    new = self.by.text("family", m[group]) if group in ("family", "last") else self.first_name(m[group])
-                    out += [text[last : m.start(group)], new]
+                    out += [text[last : m.start(group)], self.first_name(m[group])]
                     last = m.end(group)
             return "".join([*out, text[last:]])
         return self._digits(kind, text) if kind == "ssn" else self.by.text(kind, text)
@@ -337,6 +370,14 @@ def entities(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") ->
     return counted.groupBy("kind", "original", "surrogate").agg(F.sum("n").alias("n"))
 
 
+def replace_checked(docs: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:
+    """``replace_entities`` after the entities of all texts were looked through for collisions; raises if there is one."""
+    wrong = collisions(entities(docs, key, text_col)).limit(3).collect()
+    if wrong:
+        raise ValueError(f"surrogates that don't keep entities apart: {[(r.kind, r.surrogate, r.originals) for r in wrong]}")
+    return replace_entities(docs, key, text_col)
+
+
 def collisions(found: DataFrame) -> DataFrame:
     """Surrogates that stand for several originals, or originals that kept their form; empty if all is well.
 
