@@ -16,9 +16,10 @@ nobody lists.  A file ends at ``FILE_BYTES``, so that files can be converted and
 read in parallel; memory holds one record.
 
 Defined results: a null payload is empty.  A null id sorts last and is written
-as absent; rows that share the smallest id of a payload are all responses.  A
+as absent; a string id with a line end or blanks around it is refused; rows that share the smallest id of a payload are all responses.  A
 null URL becomes ``unknown:``; white space in one is escaped.  An empty table
-gives no files and no rows.  Extra columns are not archived.
+gives no files and no rows.  Very long payloads are one record each.  Repeated
+rows are a record each.  Extra columns, whatever their names, are not archived.
 """
 
 from __future__ import annotations
@@ -262,15 +263,15 @@ def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     ).filter(F.col("n") >= MIN_REVISIT)
     # null ids count as another, larger one
     same = keyed.groupBy("digest").agg(
-        F.min("id").alias("first"),
+        F.min("id").alias("__gm_first"),
         ((F.min("id") != F.max("id")) | ((F.count("id") > 0) & (F.count("id") < F.count(F.lit(1))))).alias("several"),
     )
-    shared = materialise(same.filter("several").select("digest", "first"), "shared-payloads")
-    joined = pages.withColumn("__gm_digest", F.sha2(raw, 256)).join(shared, F.col("__gm_digest") == shared.digest, "left")
-    own = quoted(id_col).eqNullSafe(F.col("first"))
-    return joined.withColumn("refers", F.when(F.col("first").isNotNull() & ~own, F.col("first"))).drop(
-        "__gm_digest", "digest", "first"
-    )
+    shared = materialise(same.filter("several").select(F.col("digest").alias("__gm_shared"), "__gm_first"), "shared-payloads")
+    joined = pages.withColumn("__gm_digest", F.sha2(raw, 256)).join(shared, F.col("__gm_digest") == F.col("__gm_shared"), "left")
+    own = quoted(id_col).eqNullSafe(F.col("__gm_first"))
+    refers = F.when(F.col("__gm_first").isNotNull() & ~own, F.col("__gm_first")).alias("refers")
+    kept = [c for c in pages.columns if c.lower() != "refers" or c == id_col]
+    return joined.select(*[quoted(c) for c in kept], refers)
 
 
 def _rolling(folder: str, ending: str, head: Callable[[int, str], bytes]) -> Callable:
@@ -309,7 +310,9 @@ def _rolling(folder: str, ending: str, head: Callable[[int, str], bytes]) -> Cal
 
 def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes ARC files, version 1 and 2 by turns; the manifest has path and revisits (ordinal, refers)."""
-    rows = revisits(pages, id_col, payload_col).select(
+    named = pages.select(quoted(id_col).alias("__gm_page"), quoted(url_col).alias("__gm_url"), quoted(payload_col).alias("__gm_payload"))
+    id_col, url_col, payload_col = named.columns
+    rows = revisits(named, id_col, payload_col).select(
         quoted(id_col).cast("string").alias("id"),
         quoted(url_col).alias("url"),
         F.coalesce(F.encode(quoted(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
@@ -323,6 +326,8 @@ def write_arc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: s
             for page, url, payload, refers in zip(batch.id, batch.url, batch.payload, batch.refers):
                 if out.out is None:
                     n = 0
+                if page is not None and len(page.splitlines()) > 1 or page is not None and page != page.strip():
+                    raise ValueError(f"{page!r} can't be a field of a record")
                 line = "" if page is None else f"X-Page-Id: {page}\r\n"
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Length: {len(payload)}\r\n{line}\r\n".encode()
                 target = "%20".join((url or "unknown:").split()) or "unknown:"

@@ -29,6 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glyphmill-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -12,7 +12,7 @@ N_SHARDS = 24
 
 
 def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = slots.shard_keys(table(spark, sf_dir, "documents"), N_SHARDS)
+    rows = slots.shard_keys(table(spark, sf_dir, "documents"), N_SHARDS, next_shards=N_SHARDS + 1)
     return rows.select(
         "doc_id",
         "size",
@@ -22,6 +22,7 @@ def op1_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
         "vslot",
+        "next_shard",
     )
 
 

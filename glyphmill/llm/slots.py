@@ -12,9 +12,12 @@ of the hash, so copies of one row fill many slots.  A row's position in its
 shard is the offset of its slot plus its rank in the slot: no task ever sorts
 more than one slot.
 
-Defined results: a null text has no bytes (size 8); null ids hash as nulls next
-to their text.  Equal rows are interchangeable.  An empty table gives an empty
-table and a map without bytes.
+Defined results: a null text has no bytes (size 8), an empty one too; very long
+texts are hashed whole.  Null ids hash as nulls next to their text.  Equal rows
+are interchangeable; equal loads go to the shard with the smaller number.  An
+empty table gives an empty table and a map without bytes.  Columns named like
+outputs are replaced in ``shard_documents``; ``shard_keys`` reads two columns
+only, so others don't matter.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ N_SLOTS = 8192
 OVERHEAD = 8
 #: A slot leaves its shard at a rebalance if it would lift it over this share of the mean.
 TOLERANCE = 1.02
+#: Equal rows that share a slot of ``shard_documents``; more of them take further slots.
+COPIES_A_SLOT = 256
 
 
 def row_size(text: Column) -> Column:
@@ -163,9 +168,13 @@ def shard_keys(
     text_col: str = "text",
     n_slots: int = N_SLOTS,
     slot_map: SlotMap | None = None,
+    next_shards: int | None = None,
 ) -> DataFrame:
     """One narrow row for each of ``docs``: doc_id, size, text_crc32, vslot, shard and slot.
 
+    With ``next_shards`` the map is rebalanced to that many shards after that, as
+    its next version, and ``next_shard`` is a row's shard by it.
+
     The texts are read once and reduced to keys at once; the keys are counted
     (equal rows together, before the shuffle), expanded by copy number, and kept
     as a table, from which sizes, map and positions follow.
@@ -187,11 +196,16 @@ def shard_keys(
         "shard-keys",
     )
     store = slot_map or SlotMap(spark, scratch_path(spark, "slot-map"))
-    version = store.rebalance(slot_stats(rows, "vslot", "size"), n_shards)
+    stats = slot_stats(rows, "vslot", "size")
+    version = store.rebalance(stats, n_shards)
     order = [F.col(c) for c in ("doc_id", "text_crc32", "h", "copy")]
-    return numbered(rows, store.read(version), "vslot", order).select(
+    found = numbered(rows, store.read(version), "vslot", order).select(
         "doc_id", "size", "text_crc32", "vslot", "shard", "slot"
     )
+    if next_shards is None:
+        return found
+    after = store.read(store.rebalance(stats, next_shards)).select(F.col("slot").alias("vslot"), F.col("shard").alias("next_shard"))
+    return found.join(F.broadcast(after), "vslot").select(*found.columns, "next_shard")
 
 
 def shard_documents(
@@ -204,29 +218,36 @@ def shard_documents(
 ) -> DataFrame:
     """``docs`` with vslot (the virtual slot) and shard.
 
-    The documents are read twice, for the sizes and for the rows, and never
-    shuffled.  A slot that holds too much of a shard, which only equal rows can
-    bring about, is dealt out row by row over further slots.
+    A row's slot follows from its id, its text and a group number, whatever the
+    other rows, the number of shards or the layout of files: up to
+    ``COPIES_A_SLOT`` equal rows are group 0, more of them are dealt out over as
+    many groups as they fill.  Equal rows are interchangeable; which of them has
+    which group follows from its place.  The documents are read twice, for the
+    counts and for the rows, and only keys are shuffled; the repeated keys are
+    joined, and broadcast only where Spark measures them small.
     """
     spark = docs.sparkSession
     docs = without(docs, ["vslot", "shard"])
     store = slot_map or SlotMap(spark, scratch_path(spark, "slot-map"))
-    keyed = docs.withColumns(
-        {"vslot": slot_of([quoted(id_col), F.xxhash64(quoted(text_col))], n_slots), "__gm_size": row_size(quoted(text_col))}
+    keyed = docs.withColumns({"__gm_id": quoted(id_col), "__gm_h": F.xxhash64(quoted(text_col))})
+    size = row_size(quoted(text_col))
+    counted = materialise(
+        keyed.groupBy("__gm_id", "__gm_h").agg(F.count(F.lit(1)).alias("m"), F.first(size).alias("size")), "row-counts"
+    ).withColumn("ways", F.ceil(F.col("m") / COPIES_A_SLOT))
+    # equal rows fall into the groups by turns, so these sums are exact but for a few rows of the hot ones
+    groups = counted.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    rows_of = F.floor(F.col("m") / F.col("ways")) + (F.col("g") < F.col("m") % F.col("ways")).cast("long")
+    stats = groups.groupBy(slot_of([F.col("__gm_id"), F.col("__gm_h"), F.col("g")], n_slots).alias("slot")).agg(
+        F.sum(rows_of * F.col("size")).alias("slot_bytes"), F.sum(rows_of).alias("slot_rows")
     )
-    stats = materialise(slot_stats(keyed, "vslot", "__gm_size"), "slot-stats")
-    total = stats.agg(F.sum("slot_bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    limit = max((total.b or 0) / n_shards / 20, 4 * (total.b or 0) / max(total.n, 1))
-    hot = stats.filter((F.col("slot_bytes") > limit) & (F.col("slot_rows") > 1)).select(
-        F.col("slot").alias("vslot"), F.least(F.ceil(F.col("slot_bytes") / F.lit(limit)), F.col("slot_rows")).alias("__gm_ways")
+    hot = counted.filter("ways > 1").select(F.col("__gm_id").alias("__gm_i"), F.col("__gm_h").alias("__gm_j"), "ways")
+    same = F.col("__gm_id").eqNullSafe(F.col("__gm_i")) & (F.col("__gm_h") == F.col("__gm_j"))
+    group = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("ways")), F.lit(0)).cast("long")
+    keyed = (
+        keyed.join(hot, same, "left")
+        .withColumn("__gm_g", group)
+        .withColumn("vslot", slot_of([F.col("__gm_id"), F.col("__gm_h"), F.col("__gm_g")], n_slots))
     )
-    if not hot.isEmpty():
-        way = F.pmod(F.monotonically_increasing_id(), F.col("__gm_ways"))
-        keyed = (
-            keyed.join(F.broadcast(hot), "vslot", "left")
-            .withColumn("vslot", F.when(F.col("__gm_ways").isNull(), F.col("vslot")).otherwise(slot_of([F.col("vslot"), way], n_slots)))
-            .drop("__gm_ways")
-        )
-        stats = slot_stats(keyed, "vslot", "__gm_size")
     table = store.read(store.rebalance(stats, n_shards)).select(F.col("slot").alias("vslot"), "shard")
-    return keyed.join(F.broadcast(table), "vslot").select(*[quoted(c) for c in docs.columns], "vslot", "shard")
+    # the map has n_slots rows at most
+    return keyed.join(F.broadcast(table), "vslot", "left").withColumn("shard", F.coalesce("shard", F.pmod("vslot", F.lit(n_shards)))).select(*[quoted(c) for c in docs.columns], "vslot", "shard")

@@ -39,7 +39,7 @@ def plain_archive(rows):
 def test_archives_round_trip(spark, tmp_path, monkeypatch, size):
     monkeypatch.setattr(archives, "FILE_BYTES", size)
     rows = pages()
-    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers", F.lit("own"))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("own") for c in ("refers", "first", "digest", "id", "path", "payload", "several")})
     frame.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     found = queries_archives.op6_arc_to_warc(spark, str(tmp_path)).collect()
     assert sorted((tuple(r) for r in found), key=str) == plain_archive(rows)

@@ -88,6 +88,47 @@ def test_copies_of_one_row_are_spread(spark):
         assert found.count() == 8000
 
 
+def plain_map(sizes, n, was=None, tolerance=slots.TOLERANCE):
+    """The greedy placement, slot by slot: the largest first, to the emptiest shard."""
+    loads, placed = [0] * n, {}
+    cap = sum(sizes.values()) * tolerance / n
+    order = sorted(sizes, key=lambda s: (-sizes[s], s))
+    for s in order if was else ():
+        if was.get(s, n) < n and loads[was[s]] + sizes[s] <= cap:
+            placed[s] = was[s]
+            loads[was[s]] += sizes[s]
+    for s in order:
+        if s not in placed:
+            placed[s] = loads.index(min(loads))
+            loads[placed[s]] += sizes[s]
+    return placed
+
+
+def test_placement_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["w" * rng.randint(0, 900) for _ in range(500)] + [None, "", "é"]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries_slots.op1_slot_sharding(spark, str(tmp_path)).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.vslot] = sizes.get(r.vslot, 0) + r["size"]
+    first = plain_map(sizes, 24)
+    after = plain_map(sizes, 25, first)
+    assert all(r.shard == first[r.vslot] and r.next_shard == after[r.vslot] for r in rows)
+    assert any(r.next_shard == 24 for r in rows) and all(r.next_shard == r.shard for r in rows if sum(sizes[s] for s in first if first[s] == r.shard) <= sum(sizes.values()) / 25)
+
+
+def test_slots_are_fixed(spark):
+    rows = [(i, f"text {i}") for i in range(300)] + [(1, "text 1")] * 5 + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    where = lambda df, n: {(r.doc_id, r.text, r.vslot) for r in slots.shard_documents(df, n).collect()}
+    one = where(docs, 8)
+    assert len(one) == 301 and where(docs.repartition(5), 3) == one
+    more = docs.union(spark.createDataFrame([(10_000 + i, "y" * 5000) for i in range(100)] + [(-1, "hot")] * 3000, "doc_id long, text string"))
+    assert {x for x in where(more, 8) if x[:2] in {y[:2] for y in one}} == one
+    assert len({x[2] for x in where(more, 8) if x[0] == -1}) > 8
+
+
 def test_map_versions_move_few_bytes(spark, tmp_path):
     store = slots.SlotMap(spark, str(tmp_path / "map"))
     stats = spark.range(500).select(F.col("id").cast("int").alias("slot"), (F.col("id") % 17 + 3).alias("slot_bytes"), F.lit(1).cast("long").alias("slot_rows"))
