@@ -2,8 +2,10 @@
 
 A text is the set of its hashed terms: its words and the beginnings of its words
 (three to six characters), so that inflected forms share a term.  Terms are kept
-that are found in toxic texts more often than chance allows (a likelihood-ratio
-test).  The machine has a weight for each term and a vector for each
+whose share of toxic texts differs, up or down, from what chance allows (a
+likelihood-ratio test, whatever the size of the difference), among all texts or
+among those that hold a term kept before: what is neutral alone but matters next
+to another term is found in the second way.  The machine has a weight for each term and a vector for each
 term whose inner products weigh pairs of terms: an insult next to a mention of a
 group may count for more, or less, than both.
 
@@ -11,7 +13,7 @@ It is fitted, terms and weights, on a bounded sample of labelled rows: at most
 ``max_rows``, half of each label where there are enough, chosen by a hash of the
 id and the text.  Only the sample's texts are shuffled.
 
-Defined results: a text without known terms, null or empty ones among them, gets
+Defined results: texts are read whole, very long ones too.  A text without known terms, null or empty ones among them, gets
 the score of the bias alone.  Without labels of both kinds all scores are the
 share of toxic labels (0 without any).  Null labels are no labels.  Repeated
 rows count once, different labels of a document each.  Equal texts get equal
@@ -33,12 +35,9 @@ from .common import materialise, quoted, without
 
 #: Rows that the machine is fitted on, at most.
 MAX_ROWS = 40_000
-#: Terms that the machine knows, at most.
-MAX_TERMS = 4096
+#: Terms are hashed to so many bits: 2^BITS is the most that a machine can know.
 BITS = 22
 FACTORS = 8
-#: Terms occur this many times as often in toxic texts as in others.
-LEAST_LIFT = 3.0
 SEED = "tox"
 OUTPUTS = ("score", "predicted")
 
@@ -78,21 +77,25 @@ class Terms:
         return sorted(out)
 
 
-def term_statistics(labelled: DataFrame, min_docs: int = 5, most: int = MAX_TERMS) -> tuple[np.ndarray, int, int]:
+def term_statistics(labelled: DataFrame, within: np.ndarray | None = None) -> tuple[np.ndarray, int, int]:
     """The terms that the labels speak about (hashed, best first), and the numbers of toxic and other rows.
 
-    Each task counts its rows; the sums are tested by Spark, and at most
-    ``most`` terms come to the driver.
+    ``within``: only rows that hold one of these terms count.  Each task counts
+    its rows, and Spark tests the sums.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms()
+        held = None if within is None else set(within.tolist())
         for batch in batches:
             seen: dict[int, list[int]] = {}
             sums = [0, 0]
             for text, label in zip(batch.text, batch.label):
+                own = terms(text)
+                if held is not None and held.isdisjoint(own):
+                    continue
                 sums[label] += 1
-                for t in terms(text):
+                for t in own:
                     seen.setdefault(t, [0, 0])[label] += 1
             keys = list(seen)
             yield pd.DataFrame(
@@ -102,7 +105,6 @@ def term_statistics(labelled: DataFrame, min_docs: int = 5, most: int = MAX_TERM
     counted = (
         labelled.mapInPandas(count, "term int, other long, toxic long")
         .groupBy("term").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("term") == -1) | (F.col("other") + F.col("toxic") >= min_docs))
     )
     sums = counted.persist()
     try:
@@ -112,7 +114,7 @@ def term_statistics(labelled: DataFrame, min_docs: int = 5, most: int = MAX_TERM
         n1, n0 = int(whole.toxic), int(whole.other)
         if not n1 or not n0:
             return np.empty(0, np.int64), n1, n0
-        # the test's order is that of its value; the driver sees the best terms only
+        # the driver sees the terms that pass
         a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
         total = float(n1 + n0)
 
@@ -123,10 +125,10 @@ def term_statistics(labelled: DataFrame, min_docs: int = 5, most: int = MAX_TERM
             part(a, (a + b) * n1 / total) + part(b, (a + b) * n0 / total)
             + part(n1 - a, (total - a - b) * n1 / total) + part(n0 - b, (total - a - b) * n0 / total)
         )
-        for_it = (F.col("term") >= 0) & (a * n0 > LEAST_LIFT * b * n1)
-        least = 8 + 2 * np.log(max(sums.count(), 2))  # the more terms are tested, the more pass by chance
-        best = sums.filter(for_it).select("term", (2 * g).alias("g")).filter(F.col("g") >= float(least))
-        rows = best.orderBy(F.desc("g"), "term").limit(most).collect()
+        # the more terms are tested, the more pass by chance; the rarest can't pass and aren't counted
+        least = 8 + 2 * np.log(max(sums.filter(a + b >= 5).count(), 2))
+        best = sums.filter("term >= 0").select("term", (2 * g).alias("g")).filter(F.col("g") >= float(least))
+        rows = best.orderBy(F.desc("g"), "term").collect()
     finally:
         sums.unpersist()
     return np.array([r.term for r in rows], np.int64), n1, n0
@@ -221,11 +223,13 @@ def fit(
     chosen = materialise(_sample(pairs, max_rows), "labelled-sample")
     names = ["key", "text_hash", "label"]
     # max_rows rows at most, whatever an id holds: repeated rows count once
-    labelled = texts.join(F.broadcast(chosen), ["key", "text_hash"]).dropDuplicates(names)
+    labelled = materialise(texts.join(F.broadcast(chosen), ["key", "text_hash"]).dropDuplicates(names), "labelled-texts")
     terms, n1, n0 = term_statistics(labelled.select("text", "label"))
     if not n1 or not n0:
         share = min(max(n1 / max(n1 + n0, 1), 1e-9), 1 - 1e-9)
         return Machine(np.empty(0, np.int64), float(np.log(share / (1 - share))))
+    beside, _, _ = term_statistics(labelled.select("text", "label"), terms) if len(terms) else (terms, 0, 0)
+    terms = np.concatenate([terms, beside[~np.isin(beside, terms)]])
     own = docs.sparkSession.sparkContext.broadcast(terms)
 
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -86,6 +86,72 @@ def test_pairs_of_terms_count_together():
     assert machine.score([0, 1, 2]) > 0.9 and machine.score([0, 2]) < 0.1 and machine.score([1, 2]) < 0.1
 
 
+class Additive(toxicity.Machine):
+    """The same machine without its pairs: vectors that begin at zero stay there."""
+
+    def __init__(self, terms, bias):
+        super().__init__(terms, bias)
+        self.v[:] = 0
+
+
+def shares(spark, docs, truth, machine):
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, machine).collect() if r.doc_id >= 2000}
+    hit = sum(1 for i, p in got.items() if p and truth[i])
+    return hit / max(sum(got.values()), 1), hit / sum(truth[i] for i in got)
+
+
+def test_words_that_are_harmful_together(spark, monkeypatch):
+    # one of two insults with the group that it aims at; with the other group it is none, so no sum of weights decides
+    rng = np.random.default_rng(4)
+    fill = [f"{a}{b}{c}" for a in ("kor", "mel", "tas", "vin") for b in ("bu", "da", "fi") for c in ("lan", "rep", "sot")]
+    texts, truth = [], {}
+    for i in range(4000):
+        insult, group = rng.integers(0, 3, 2)
+        words = list(rng.choice(fill, 30)) + [["grubber", "pigwhistle", "sunny"][insult], ["northlander", "eastfolk", "evening"][group]]
+        rng.shuffle(words)
+        texts.append((i, " ".join(words)))
+        truth[i] = int(insult == group < 2)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(2000)], "doc_id long, toxic int")
+    precision, recall = shares(spark, docs, truth, toxicity.fit(docs, labels))
+    assert precision >= 0.95 and recall >= 0.95
+    monkeypatch.setattr(toxicity, "Machine", Additive)
+    assert min(shares(spark, docs, truth, toxicity.fit(docs, labels))) < 0.8
+
+
+def test_a_neutral_word_is_found_beside_an_insult(spark):
+    # the mention is as frequent in toxic texts as in others; it counts next to the insult only
+    rng = np.random.default_rng(5)
+    texts, truth = [], {}
+    for i in range(6000):
+        kind = i % 10
+        insult, mention, other = kind in (0, 1), kind in (0, 2, 3, 4), kind in (5, 6)
+        words = list(rng.choice(["kordal", "melfin", "tasbul", "vinrep", "sotlan"], 12))
+        words += ["grubber"] * insult + ["northlander"] * mention + ["vilestuff"] * (other and kind == 5)
+        rng.shuffle(words)
+        texts.append((i, " ".join(words)))
+        truth[i] = int((insult and mention) or kind == 5)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(2000)], "doc_id long, toxic int")
+    precision, recall = shares(spark, docs, truth, toxicity.fit(docs, labels))
+    assert precision >= 0.95 and recall >= 0.95
+
+
+def plain_score(machine, active):
+    raw = machine.bias + sum(machine.w[i] for i in active)
+    raw += sum(float(machine.v[i] @ machine.v[j]) for n, i in enumerate(active) for j in active[n + 1 :])
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_scores_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    machine = toxicity.Machine(np.arange(50), 0.3)
+    machine.w, machine.v = rng.normal(size=50), rng.normal(size=(50, 8))
+    for n in (0, 1, 2, 7, 20):
+        active = sorted(rng.choice(50, n, replace=False).tolist())
+        assert machine.score(active) == pytest.approx(plain_score(machine, active), abs=1e-9)
+
+
 def test_repeated_rows_do_not_fill_the_sample(spark):
     hot = [(1, "the cat and the dog", "en")] * 3000
     rest = [(10 + i, ["the cow and the cat", "der hund und die kuh"][i % 2] + f" x{i}", ["en", "de"][i % 2]) for i in range(40)]
