@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm import mixing
 from glyphmill.llm.common import materialise
 
-from .test_duplicates_and_leaks import plain_classes, plain_hits, plain_print
+from .test_duplicates_and_leaks import plain_hits
+from .test_near_copies import plain_jaccard_classes
 from .test_rules_and_slots import plain_copies, plain_measures
 
 
@@ -25,11 +26,16 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
 
     kept = {i: t for i, t in enumerate(texts) if not plain_measures(t)[5]}
-    classes = plain_classes({i: plain_print(t) for i, t in kept.items()})
-    kept = {i: t for i, t in kept.items() if classes[i] == i}
+    order = sorted(kept)
+    classes = plain_jaccard_classes([kept[i] for i in order])
+    kept = {i: kept[i] for k, i in enumerate(order) if classes[k] == k}
     kept = {i: t for i, t in kept.items() if not plain_hits(t, items)[4]}
-    docs = spark.createDataFrame([r for r in rows if r[0] in kept], schema)
-    rates = {r.source: r.rate for r in mixing.source_rates(docs, "source", "text").collect()}
+    sizes = {}
+    for i, t in kept.items():
+        sizes[f"s{i % 3}"] = sizes.get(f"s{i % 3}", 0) + len((t or "").encode())
+    total = sum(sizes.values())
+    weights = {s: round((n / total) ** 0.7, 12) for s, n in sizes.items()}
+    rates = {s: round(total * weights[s] / sum(weights.values()) / n, 9) for s, n in sizes.items()}
     want = {i: plain_copies(str(i), rates[f"s{i % 3}"], mixing.SEED) for i in kept}
 
     out = materialise(corpus_pipeline.run(spark, str(tmp_path)), "out")
