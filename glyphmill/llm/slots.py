@@ -240,9 +240,13 @@ def shard_documents(
     stats = groups.groupBy(slot_of([F.col("__gm_id"), F.col("__gm_h"), F.col("g")], n_slots).alias("slot")).agg(
         F.sum(rows_of * F.col("size")).alias("slot_bytes"), F.sum(rows_of).alias("slot_rows")
     )
-    hot = counted.filter("ways > 1").select(F.col("__gm_id").alias("__gm_i"), F.col("__gm_h").alias("__gm_j"), "ways")
+    # as a table, whose size Spark knows: it is broadcast if that is small, so that no text is shuffled
+    hot = materialise(
+        counted.filter("ways > 1").select(F.col("__gm_id").alias("__gm_i"), F.col("__gm_h").alias("__gm_j"), F.col("ways").alias("__gm_ways")),
+        "hot-rows",
+    )
     same = F.col("__gm_id").eqNullSafe(F.col("__gm_i")) & (F.col("__gm_h") == F.col("__gm_j"))
-    group = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("ways")), F.lit(0)).cast("long")
+    group = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("__gm_ways")), F.lit(0)).cast("long")
     keyed = (
         keyed.join(hot, same, "left")
         .withColumn("__gm_g", group)

@@ -127,6 +127,8 @@ def test_slots_are_fixed(spark):
     more = docs.union(spark.createDataFrame([(10_000 + i, "y" * 5000) for i in range(100)] + [(-1, "hot")] * 3000, "doc_id long, text string"))
     assert {x for x in where(more, 8) if x[:2] in {y[:2] for y in one}} == one
     assert len({x[2] for x in where(more, 8) if x[0] == -1}) > 8
+    plan = slots.shard_documents(more, 8)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
 
 
 def test_map_versions_move_few_bytes(spark, tmp_path):
