@@ -2,10 +2,10 @@
 
 A text is the set of its hashed terms: its words and the beginnings of its words
 (three to six characters), so that inflected forms share a term.  Terms are kept
-whose share of toxic texts differs, up or down, from what chance allows (a
-likelihood-ratio test, whatever the size of the difference), among all texts or
-among those that hold a term kept before: what is neutral alone but matters next
-to another term is found in the second way.  The machine has a weight for each term and a vector for each
+that are 1.5 times as frequent in toxic texts as in others, or in others as in
+toxic ones, and more than chance allows (a likelihood-ratio test), among all
+texts or among those that hold a term kept before: what is neutral alone but
+matters next to another term is found in the second way.  The machine has a weight for each term and a vector for each
 term whose inner products weigh pairs of terms: an insult next to a mention of a
 group may count for more, or less, than both.
 
@@ -38,6 +38,8 @@ MAX_ROWS = 40_000
 #: Terms are hashed to so many bits: 2^BITS is the most that a machine can know.
 BITS = 22
 FACTORS = 8
+#: How many times as frequent a term is on one side, so that small differences, such as the labels' share of a language, don't count.
+LEAST_RATIO = 1.5
 SEED = "tox"
 OUTPUTS = ("score", "predicted")
 
@@ -127,7 +129,8 @@ def term_statistics(labelled: DataFrame, within: np.ndarray | None = None) -> tu
         )
         # the more terms are tested, the more pass by chance; the rarest can't pass and aren't counted
         least = 8 + 2 * np.log(max(sums.filter(a + b >= 5).count(), 2))
-        best = sums.filter("term >= 0").select("term", (2 * g).alias("g")).filter(F.col("g") >= float(least))
+        apart = (a * n0 >= LEAST_RATIO * b * n1) | (b * n1 >= LEAST_RATIO * a * n0)
+        best = sums.filter((F.col("term") >= 0) & apart).select("term", (2 * g).alias("g")).filter(F.col("g") >= float(least))
         rows = best.orderBy(F.desc("g"), "term").collect()
     finally:
         sums.unpersist()
