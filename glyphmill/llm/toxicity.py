@@ -40,6 +40,8 @@ BITS = 22
 FACTORS = 8
 #: How many times as frequent a term is on one side, so that small differences, such as the labels' share of a language, don't count.
 LEAST_RATIO = 1.5
+#: The fit works on rows of about so many terms at once.
+BLOCK = 1 << 17
 SEED = "tox"
 OUTPUTS = ("score", "predicted")
 
@@ -131,10 +133,21 @@ def term_statistics(labelled: DataFrame, within: np.ndarray | None = None) -> tu
         least = 8 + 2 * np.log(max(sums.filter(a + b >= 5).count(), 2))
         apart = (a * n0 >= LEAST_RATIO * b * n1) | (b * n1 >= LEAST_RATIO * a * n0)
         best = sums.filter((F.col("term") >= 0) & apart).select("term", (2 * g).alias("g")).filter(F.col("g") >= float(least))
-        rows = best.orderBy(F.desc("g"), "term").collect()
+        found = best.orderBy(F.desc("g"), "term").select("term").toArrow()
     finally:
         sums.unpersist()
-    return np.array([r.term for r in rows], np.int64), n1, n0
+    return found["term"].to_numpy().astype(np.int64), n1, n0
+
+
+def _blocks(rows: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The rows in blocks of about BLOCK terms: the first row, the rows' sizes, their terms one after the other."""
+    sizes = np.array([len(r) for r in rows], np.int64)
+    ends, at, out = np.cumsum(sizes), 0, []
+    while at < len(rows):
+        past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+        out.append((at, sizes[at:past], np.concatenate(rows[at:past]).astype(np.int32)))
+        at = past
+    return out
 
 
 class Machine:
@@ -147,8 +160,8 @@ class Machine:
         self.w = np.zeros(len(terms))
         self.v = rng.normal(0, 0.02, (len(terms), FACTORS))
 
-    def raw(self, active: list[int]) -> float:
-        if not active:
+    def raw(self, active: list[int] | np.ndarray) -> float:
+        if not len(active):
             return self.bias
         v = self.v[active]
         s = v.sum(axis=0)
@@ -161,32 +174,44 @@ class Machine:
         self, rows: list[np.ndarray], labels: np.ndarray, steps: int = 600, rate: float = 0.05,
         decay_w: float = 1e-6, decay_v: float = 1e-5,
     ) -> None:
-        """Adam on the logistic loss over all rows at once; both labels weigh the same."""
-        n = len(rows)
-        row = np.repeat(np.arange(n), [len(r) for r in rows])
-        term = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
+        """Adam on the logistic loss over all rows at once; both labels weigh the same.
+
+        Beside the terms themselves, 4 bytes for each term of each row, memory holds numbers for one block of rows
+        at a time.
+        """
         weight = np.where(labels > 0, 0.5 / max(1, (labels > 0).sum()), 0.5 / max(1, (labels == 0).sum()))
         m, k = len(self.w), self.v.shape[1]
+        blocks = _blocks(rows)
         self.bias = 0.0
         moments = [np.zeros(1 + m + m * k), np.zeros(1 + m + m * k)]
         for step in range(1, steps + 1):
-            active = self.v[term]
-            s = np.stack([np.bincount(row, active[:, f], n) for f in range(k)], axis=1)
-            own = np.bincount(row, (active * active).sum(axis=1), n)
-            raw = self.bias + np.bincount(row, self.w[term], n) + 0.5 * ((s * s).sum(axis=1) - own)
-            error = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels)
-            each = error[row]
-            dw = np.bincount(term, each, m) + decay_w * self.w
-            pull = each[:, None] * (s[row] - active)
-            dv = np.stack([np.bincount(term, pull[:, f], m) for f in range(k)], axis=1) + decay_v * self.v
-            slope = np.concatenate([[error.sum()], dw, dv.ravel()])
-            moments[0] = 0.9 * moments[0] + 0.1 * slope
-            moments[1] = 0.999 * moments[1] + 0.001 * slope * slope
+            v = np.ascontiguousarray(self.v.T)
+            squares = (v * v).sum(axis=0)
+            slope = np.zeros(1 + m + m * k)
+            dw, dv = slope[1 : m + 1], np.zeros((k, m))
+            for first, sizes, term in blocks:
+                n, mine = len(sizes), slice(first, first + len(sizes))
+                row = np.repeat(np.arange(n), sizes)
+                s = [np.bincount(row, v[f][term], n) for f in range(k)]
+                pairs = sum(x * x for x in s) - np.bincount(row, squares[term], n)
+                raw = self.bias + np.bincount(row, self.w[term], n) + 0.5 * pairs
+                error = weight[mine] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[mine])
+                slope[0] += error.sum()
+                dw += np.bincount(term, error[row], m)
+                for f in range(k):
+                    dv[f] += np.bincount(term, (error * s[f])[row], m)
+            dv += (decay_v - dw) * v
+            dw += decay_w * self.w
+            slope[m + 1 :] = dv.T.ravel()
+            moments[0] *= 0.9
+            moments[0] += 0.1 * slope
+            moments[1] *= 0.999
+            moments[1] += 0.001 * slope * slope
             move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
             self.bias -= move[0]
             self.w -= move[1 : m + 1]
             self.v -= move[m + 1 :].reshape(m, k)
-        self._centre(np.array([self.raw(list(r)) for r in rows]), labels, weight)
+        self._centre(np.array([self.raw(r) for r in rows]), labels, weight)
 
     def _centre(self, raw: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> None:
         """Moves the bias so that score 0.5 lies in the middle of the widest of the best cuts between the labels."""

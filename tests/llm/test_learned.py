@@ -1,5 +1,6 @@
 """Language identification and toxicity: held-out accuracy and the odd cases."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,6 +153,25 @@ def test_scores_equal_all_pairs():
         assert machine.score(active) == pytest.approx(plain_score(machine, active), abs=1e-9)
 
 
+def test_the_fit_holds_numbers_for_one_block_of_rows(monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [rng.choice(3000, 100, replace=False).astype(np.int32) for _ in range(12_000)] + [np.empty(0, np.int32)]
+    labels = np.array([float(0 in r or 1 in r) for r in rows])
+    machine = toxicity.Machine(np.arange(3000), 0.0)
+    tracemalloc.start()
+    machine.fit(rows, labels, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * sum(map(len, rows))  # bytes; all rows at once need more than 200 for each of their terms
+    fitted = []
+    for block in (toxicity.BLOCK, 1):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        small = toxicity.Machine(np.arange(3000), 0.0)
+        small.fit(rows[-300:], labels[-300:], steps=20)
+        fitted.append([small.score(r.tolist()) for r in rows[-300:]])
+    assert fitted[0] == pytest.approx(fitted[1], abs=1e-6)
+
+
 def test_repeated_rows_do_not_fill_the_sample(spark):
     hot = [(1, "the cat and the dog", "en")] * 3000
     rest = [(10 + i, ["the cow and the cat", "der hund und die kuh"][i % 2] + f" x{i}", ["en", "de"][i % 2]) for i in range(40)]
