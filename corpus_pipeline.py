@@ -21,7 +21,10 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that with the smallest id; five-word shingles, Jaccard 0.8 or more."""
+    """One document of each class stays, that with the smallest id.
+
+    Copies are found by op3's SimHash and by minimum hashes, and verified: five-word shingles, Jaccard 0.8 or more.
+    """
     return nearcopies.deduplicate(docs)
 
 

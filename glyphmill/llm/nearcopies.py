@@ -1,9 +1,15 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share a band of their minimum hashes: 32 bands of 4, so a pair at
+Candidates come from two searches.  The first is op3's, with all of its steps:
+SimHash fingerprints, linked at four bits or fewer by the generalised pigeonhole
+principle; the members of a class are verified against its smallest.  Four bits
+reach the closest copies only (at similarity 0.8 about ten bits differ), so the
+second finds what shares a band of minimum hashes: 32 bands of 4, so a pair at
 similarity 0.8 is missed with a chance of (1 - 0.8^4)^32, 5 in 100 million, and
-one above it less often.  Candidates are verified on their whole shingle sets;
-documents form classes, the connected components.
+one above it less often, however SimHash classes it.  Candidates of both are
+verified on their whole shingle sets: equal fingerprints are no copies where one
+repeated phrase outweighs different texts.  Documents form classes, the connected
+components.
 
 Each member of a bucket is verified against the bucket's smallest first.  Only
 buckets whose members are then in several classes give all their pairs, without
@@ -26,9 +32,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialise, quoted
 from .components import connected_components
-from .simhash import keep_one
 
 SHINGLE = 5
 LEAST = 0.8
@@ -74,13 +80,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def _signed(text: Column) -> Column:
-    """node, n and bands of the shingle set of a text."""
+    """node, n and bands of the shingle set of a text, and its fingerprint."""
 
-    @F.pandas_udf("node long, n int, bands array<long>")
+    @F.pandas_udf("node long, n int, fp long, bands array<long>")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            sets = [shingle_set(None if t is None else bytes(t)) for t in batch]
-            yield pd.DataFrame({"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+            raw = [None if t is None else bytes(t) for t in batch]
+            sets = [shingle_set(t) for t in raw]
+            prints = np.array([simhash.fingerprint(t) for t in raw], dtype=np.uint64).view(np.int64)
+            bands = [band_keys(s) for s in sets]
+            yield pd.DataFrame({"node": [node_of(s) for s in sets], "n": [len(s) for s in sets], "fp": prints, "bands": bands})
 
     return of(F.encode(text, "UTF-8"))
 
@@ -110,24 +119,44 @@ def _size_fits(a: str, b: str) -> Column:
     return F.least(a, b) / F.greatest(a, b) >= LEAST
 
 
+def fingerprint_stars(keyed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of shingle sets: each with the smallest of its class of fingerprints, where the sizes fit."""
+    prints = materialise(keyed.select("fp").distinct(), "fingerprints")
+    if prints.isEmpty():
+        return prints.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    roots = materialise(connected_components(simhash.links(prints)), "fingerprint-classes")
+    classed = keyed.select("node", "n", "fp").distinct().join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    named = materialise(classed.select("node", "n", F.coalesce("root", "fp").alias("root")).distinct(), "classed-sets")
+    least = named.groupBy("root").agg(F.min(F.struct("node", "n")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    both = named.join(least.select("root", F.col("m.node").alias("v"), F.col("m.n").alias("vn")), "root")
+    return both.filter((F.col("node") != F.col("v")) & _size_fits("n", "vn")).select(F.col("node").alias("u"), "v").distinct()
+
+
+def _banded(nodes: DataFrame) -> DataFrame:
+    """node, n and band, a row for each band of a shingle set."""
+    return nodes.select("node", "n", F.explode("bands").alias("band"))
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, text_hash, root), one for each of ``docs``; root is a shingle set that names the class."""
     text = quoted(text_col)
     made = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _signed(text).alias("s"))
-    keyed = materialise(made.select("doc_id", "text_hash", "s.node", "s.n", "s.bands"), "shingled")
+    keyed = materialise(made.select("doc_id", "text_hash", "s.node", "s.n", "s.fp", "s.bands"), "shingled")
+    by_print = materialise(fingerprint_stars(keyed), "fingerprint-stars")
     nodes = keyed.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
-    banded = materialise(nodes.select("node", "n", F.explode("bands").alias("band")), "bands")
+    banded = materialise(_banded(nodes), "bands")
     least = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
     buckets = materialise(
         banded.join(least.select("band", F.col("m.node").alias("v"), F.col("m.n").alias("vn")), "band"), "buckets"
     )
-    members = buckets.select("node").distinct()
+    members = buckets.select("node").union(by_print.select("u")).union(by_print.select("v")).distinct()
     chosen = keyed.join(members, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("__gm_text"))
     found = docs.select(F.xxhash64(text).alias("__gm_text"), text.alias("__gm_t")).join(chosen, "__gm_text")
     sets = materialise(
         found.dropDuplicates(["node"]).select("node", _shingles(F.col("__gm_t")).alias("shingles")), "shingle-sets"
     )
-    stars = buckets.filter((F.col("node") != F.col("v")) & _size_fits("n", "vn")).select(F.col("node").alias("u"), "v").distinct()
+    by_band = buckets.filter((F.col("node") != F.col("v")) & _size_fits("n", "vn")).select(F.col("node").alias("u"), "v")
+    stars = by_band.union(by_print).distinct()
     first = materialise(_verified(stars, sets), "star-links")
     roots = materialise(connected_components(first), "star-classes")
     rooted = buckets.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -144,4 +173,4 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, a row with its smallest id, in the columns of ``docs``."""
-    return keep_one(docs, cluster(docs, id_col, text_col), id_col, text_col)
+    return simhash.keep_one(docs, cluster(docs, id_col, text_col), id_col, text_col)

@@ -187,7 +187,7 @@ def candidate_counts(prints: DataFrame, total: int, choices: list[list[list[int]
     keyed = F.array(
         *[F.struct(F.lit(b).alias("b"), extract(F.col("fp"), bits).alias("v")) for b, (_, _, bits) in enumerate(blocks)]
     )
-    found = prints.select(F.explode(keyed).alias("e")).groupBy("e.b", "e.v").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    found = prints.select(F.explode(keyed).alias("e")).groupBy("e.b", "e.v").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()
     pairs = max(float(total) * (total - 1), 1.0)
     shares: list[list] = [[np.ones(1) for _ in groups] for groups in choices]
     for b, (m, k, bits) in enumerate(blocks):
