@@ -42,6 +42,9 @@ FACTORS = 8
 LEAST_RATIO = 1.5
 #: The fit works on rows of about so many terms at once.
 BLOCK = 1 << 17
+#: A step of the fit is made from about so many rows, or from more, so that each row is in LEAST_ROUNDS steps at least.
+BATCH = 4096
+LEAST_ROUNDS = 60
 SEED = "tox"
 OUTPUTS = ("score", "predicted")
 
@@ -150,6 +153,15 @@ def _blocks(rows: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray]]:
     return out
 
 
+def _batches(labels: np.ndarray, steps: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """The numbers of all rows, shuffled, in batches that hold equal shares of both labels."""
+    turn = np.empty(len(labels))
+    for own in (np.flatnonzero(labels > 0), np.flatnonzero(labels <= 0)):
+        turn[rng.permutation(own)] = (np.arange(len(own)) + 0.5) / max(1, len(own))
+    count = max(1, min(-(-len(labels) // BATCH), steps // LEAST_ROUNDS))
+    return np.array_split(np.argsort(turn, kind="stable"), count)
+
+
 class Machine:
     """A factorisation machine: bias, weights and vectors as plain arrays."""
 
@@ -174,32 +186,36 @@ class Machine:
         self, rows: list[np.ndarray], labels: np.ndarray, steps: int = 600, rate: float = 0.05,
         decay_w: float = 1e-6, decay_v: float = 1e-5,
     ) -> None:
-        """Adam on the logistic loss over all rows at once; both labels weigh the same.
+        """Adam on the logistic loss over batches of the rows, all in turn; both labels weigh the same.
 
+        In the second half the rate falls to zero, so that the last batches don't count for more than others.
         Beside the terms themselves, 4 bytes for each term of each row, memory holds numbers for one block of rows
         at a time.
         """
         weight = np.where(labels > 0, 0.5 / max(1, (labels > 0).sum()), 0.5 / max(1, (labels == 0).sum()))
         m, k = len(self.w), self.v.shape[1]
-        blocks = _blocks(rows)
+        rng = np.random.default_rng(12)
+        batches = [(own, _blocks([rows[i] for i in own])) for own in _batches(labels, steps, rng)]
+        rounds = -(-steps // len(batches))
+        turns = np.concatenate([rng.permutation(len(batches)) for _ in range(rounds)])
         self.bias = 0.0
         moments = [np.zeros(1 + m + m * k), np.zeros(1 + m + m * k)]
         for step in range(1, steps + 1):
+            own, blocks = batches[turns[step - 1]]
             v = np.ascontiguousarray(self.v.T)
-            squares = (v * v).sum(axis=0)
+            alone = self.w - 0.5 * (v * v).sum(axis=0)
             slope = np.zeros(1 + m + m * k)
             dw, dv = slope[1 : m + 1], np.zeros((k, m))
             for first, sizes, term in blocks:
-                n, mine = len(sizes), slice(first, first + len(sizes))
-                row = np.repeat(np.arange(n), sizes)
-                s = [np.bincount(row, v[f][term], n) for f in range(k)]
-                pairs = sum(x * x for x in s) - np.bincount(row, squares[term], n)
-                raw = self.bias + np.bincount(row, self.w[term], n) + 0.5 * pairs
-                error = weight[mine] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[mine])
+                n, mine = len(sizes), own[first : first + len(sizes)]
+                row, term = np.repeat(np.arange(n), sizes), term.astype(np.intp)
+                s = [np.bincount(row, v[f].take(term), n) for f in range(k)]
+                raw = self.bias + np.bincount(row, alone.take(term), n) + 0.5 * sum(x * x for x in s)
+                error = len(batches) * weight[mine] * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[mine])
                 slope[0] += error.sum()
-                dw += np.bincount(term, error[row], m)
+                dw += np.bincount(term, error.take(row), m)
                 for f in range(k):
-                    dv[f] += np.bincount(term, (error * s[f])[row], m)
+                    dv[f] += np.bincount(term, (error * s[f]).take(row), m)
             dv += (decay_v - dw) * v
             dw += decay_w * self.w
             slope[m + 1 :] = dv.T.ravel()
@@ -207,7 +223,8 @@ class Machine:
             moments[0] += 0.1 * slope
             moments[1] *= 0.999
             moments[1] += 0.001 * slope * slope
-            move = rate * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
+            now = rate * min(1.0, 2 * (1 - (step - 1) / steps))
+            move = now * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
             self.bias -= move[0]
             self.w -= move[1 : m + 1]
             self.v -= move[m + 1 :].reshape(m, k)

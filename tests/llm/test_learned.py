@@ -172,6 +172,23 @@ def test_the_fit_holds_numbers_for_one_block_of_rows(monkeypatch):
     assert fitted[0] == pytest.approx(fitted[1], abs=1e-6)
 
 
+def test_a_step_of_the_fit_reads_a_batch_and_the_steps_read_all_rows(monkeypatch):
+    rng = np.random.default_rng(8)
+    plain, read = np.bincount, []
+    monkeypatch.setattr(np, "bincount", lambda x, *rest: read.append(len(x)) or plain(x, *rest))
+    for n, batch in ((20_000, toxicity.BATCH), (2000, 1)):
+        # every row has a term of its own: the weight of one that no step read would stay zero
+        rows = [np.array([i, n + i % 2], np.int32) for i in range(n)]
+        labels = (rng.random(n) < 0.1).astype(np.float64)
+        monkeypatch.setattr(toxicity, "BATCH", batch)
+        machine = toxicity.Machine(np.arange(n + 2), 0.0)
+        read.clear()
+        machine.fit(rows, labels)
+        assert sum(read) < 0.3 * 600 * (2 + 2 * toxicity.FACTORS) * sum(map(len, rows))  # all rows in each step: 1.0 or more
+        assert np.array_equal(machine.w[:n] > 0, labels > 0) and machine.w[:n].all()
+        assert [machine.score(r.tolist()) >= 0.5 for r in rows] == (labels > 0).tolist()
+
+
 def test_repeated_rows_do_not_fill_the_sample(spark):
     hot = [(1, "the cat and the dog", "en")] * 3000
     rest = [(10 + i, ["the cow and the cat", "der hund und die kuh"][i % 2] + f" x{i}", ["en", "de"][i % 2]) for i in range(40)]
