@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmill import queries as Q
 from glyphmill.config import Settings
 from glyphmill.functions import vectors as V
 from glyphmill.operators import vectors as E
@@ -188,3 +189,10 @@ def test_stream_counts_like_a_batch(spark, tmp_path):
     (folder / "b.txt").write_text("two\n")
     ST.stream_batches(spark, str(folder), *places)
     assert {r.token: r.cnt for r in ST.total(spark, places[0]).collect()} == {"one": 1, "two": 3, "</s>": 3}
+
+
+def test_text_files_have_the_lines_of_the_texts(spark, tmp_path):
+    texts = ["a b", None, "", "x\n", "\n", "q\r\nw\rz", "fooBar\n\n", "\nz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = {r.token: r.cnt for r in Q.stream_word_counts(spark, str(tmp_path)).collect()}
+    assert counts == {r.token: r.cnt for r in Q.word_counts(spark, str(tmp_path)).collect()} and counts["</s>"] == 9
