@@ -1,6 +1,7 @@
 """Both learners on worked cases, against plain replays, and in distributed rounds."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -176,3 +177,43 @@ def test_literal_learning_has_a_limit(spark, monkeypatch):
         L.learn_merges(counts, Settings(num_merges=4))
     far = L.learn_merges(counts, Settings(num_merges=4, semantics="canonical")).collect()
     assert far == L.replay_merges(counts, 4, "canonical").collect()
+
+
+def letters(n):
+    rng = random.Random(3)
+    return sorted({"".join(rng.choice("etaoinshrdlu") for _ in range(11)) for _ in range(n)})
+
+
+def megabytes(made):
+    """At most, while something is made; it, too."""
+    tracemalloc.start()
+    held = made()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most / 1e6, held
+
+
+@pytest.mark.parametrize("semantics", ["literal", "canonical"])
+def test_replay_holds_numbers_not_objects(monkeypatch, semantics):
+    monkeypatch.setattr(L, "BLOCK", 1_000)
+    words = letters(60_000)
+
+    def learned():
+        held = L.Words(30)
+        for k in range(0, len(words), 10_000):
+            held.add(words[k : k + 10_000], [1] * len(words[k : k + 10_000]))
+        return list(L.Replay(held, semantics == "literal").merges(30))
+
+    most, rows = megabytes(learned)
+    assert len(rows) == 30 and most < 12, most
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replay_in_blocks(monkeypatch, seed):
+    monkeypatch.setattr(L, "BLOCK", 2)
+    words = {w.replace("c", "aé"): n for w, n in some_words(seed).items()}
+    for literal, plain in ((True, full_scan), (False, textbook)):
+        held = L.Words(70)
+        for word in sorted(words):
+            held.add([word], [words[word]])
+        assert [m[1:3] + m[4:5] for m in L.Replay(held, literal).merges(70)] == plain(words, 70)
