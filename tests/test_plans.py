@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__
 from glyphmill import queries as Q
 from glyphmill.oracle import SQL
+from glyphmill.sources import tables as B
 
 
 def plan_of(df) -> str:
@@ -38,3 +39,9 @@ def test_every_engine_query_has_sql_or_a_reason():
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).limit(3).collect()
     assert len(rows) == 3 and rows[0].cnt >= rows[1].cnt >= rows[2].cnt
+
+
+def test_a_cell_is_made_with_one_pattern(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,1\n")
+    plan = B.read_cells(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"regexp_\w+\(|Like", plan)) == 2 and "regexp_extract_all" in plan
