@@ -5,6 +5,7 @@ import tracemalloc
 
 import pytest
 
+from glyphmill import queries as Q
 from glyphmill.config import Settings
 from glyphmill.operators import learn as L
 from glyphmill.operators import segment as S
@@ -217,3 +218,26 @@ def test_replay_in_blocks(monkeypatch, seed):
         for word in sorted(words):
             held.add([word], [words[word]])
         assert [m[1:3] + m[4:5] for m in L.Replay(held, literal).merges(70)] == plain(words, 70)
+
+
+def test_a_worker_keeps_few_words():
+    words = letters(60_000)
+    of = S.Segmenter(frozenset("etaoinshrdlu") | {"</w>", "th"})
+    most, _ = megabytes(lambda: sum(len(of.word(w)) for w in words))
+    assert most < 8 and of.word("th")[0] is next(t for t in of.tokens if t == "th"), most
+
+
+def test_kept_words_change_nothing(monkeypatch):
+    of, words = S.Segmenter(frozenset({"low", "est</w>", "e"})), ["low", "lowest", "", "e", "low", "lowest"]
+    whole = [of.word(w) for w in words]
+    monkeypatch.setattr(S, "MOST_KEPT", 1)
+    assert [S.Segmenter(frozenset({"low", "est</w>", "e"})).sentence(" ".join(words))] == [sum(whole, [])]
+
+
+def test_vocabularies_of_many_words_are_learned_in_rounds(spark, small, monkeypatch):
+    one_task = {r.token for r in Q.vocabulary_ranked(spark, small).collect()}
+    monkeypatch.setattr(L, "LOCAL_WORDS", 3)
+    rounds = []
+    plain = L.distributed_merges
+    monkeypatch.setattr(L, "distributed_merges", lambda *args: rounds.append(args) or plain(*args))
+    assert {r.token for r in Q.vocabulary_ranked(spark, small).collect()} == one_task and len(rounds) == 1
